@@ -25,6 +25,7 @@ from nearspark import params
 from nearspark.functions.hashing import MERSENNE_32, md5_mod, minhash_coefficients
 from nearspark.operators import pairs as P
 from nearspark.operators.text import flatten_bag
+from nearspark.session import materialize
 
 _CHUNK = 1 << 18  # features per numpy block inside one Arrow batch
 
@@ -124,6 +125,7 @@ def minhash_pairs(bag: DataFrame, id_col: str = "doc_id", num_hashes: int = 128,
     rows = params.check_minhash(num_hashes, num_bands, jaccard_threshold)
     if sigs is None:
         sigs = signatures(bag, id_col, num_hashes, seed)
+    sigs = materialize(sigs)  # read by the collapse and by the member join
     reps, members = P.collapse_identical(sigs, id_col, "signature")
     index = lsh_index(reps, "rep", num_bands, rows)
     cands = candidate_pairs(index, "rep", tile_size)

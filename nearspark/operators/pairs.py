@@ -22,6 +22,24 @@ def canonical(df: DataFrame, a: str, b: str, out1: str = "id1", out2: str = "id2
     return df.select(F.least(a, b).alias(out1), F.greatest(a, b).alias(out2), *rest)
 
 
+def tile_keys(df: DataFrame, group_cols: list[str], id_col: str, payload: list[str],
+              tile_size: int) -> DataFrame:
+    """Copy each row to the tile pairs ``(_lo, _hi)`` of its group (see below).
+
+    Output columns: group columns, id, payload, ``_t`` (own tile), ``_lo``, ``_hi``.
+    """
+    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    sized = df.join(sizes, group_cols).withColumn(
+        "_s", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(tile_size))).cast("int"))
+    tiled = sized.withColumn("_t", F.pmod(F.xxhash64(F.col(id_col)), F.col("_s")).cast("int"))
+    spread = tiled.select(
+        *group_cols, id_col, *payload, "_t",
+        F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_j"))
+    return spread.select(
+        *group_cols, id_col, *payload, "_t",
+        F.least("_t", "_j").alias("_lo"), F.greatest("_t", "_j").alias("_hi"))
+
+
 def group_self_pairs(df: DataFrame, group_cols: list[str], id_col: str,
                      payload: list[str] | None = None, tile_size: int = DEFAULT_TILE,
                      out1: str = "id1", out2: str = "id2") -> DataFrame:
@@ -34,16 +52,7 @@ def group_self_pairs(df: DataFrame, group_cols: list[str], id_col: str,
     spread over ``s(s+1)/2`` tasks. Groups below ``tile_size`` are not copied.
     """
     payload = payload or []
-    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    sized = df.join(sizes, group_cols).withColumn(
-        "_s", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(tile_size))).cast("int"))
-    tiled = sized.withColumn("_t", F.pmod(F.xxhash64(F.col(id_col)), F.col("_s")).cast("int"))
-    spread = tiled.select(
-        *group_cols, id_col, *payload, "_t",
-        F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_j"))
-    keyed = spread.select(
-        *group_cols, id_col, *payload,
-        F.least("_t", "_j").alias("_lo"), F.greatest("_t", "_j").alias("_hi"))
+    keyed = tile_keys(df, group_cols, id_col, payload, tile_size)
     left = keyed.select(*group_cols, "_lo", "_hi", F.col(id_col).alias(out1),
                         *[F.col(p).alias(f"{p}_1") for p in payload])
     right = keyed.select(*group_cols, "_lo", "_hi", F.col(id_col).alias(out2),
@@ -75,11 +84,11 @@ def collapse_identical(df: DataFrame, id_col: str, key_col: str) -> tuple[DataFr
     Returns ``(reps, members)``: one row per distinct key with ``rep`` = the
     smallest id (and the key), and ``(rep, id)`` for every row.
     """
-    w = Window.partitionBy(key_col)
-    tagged = df.select(id_col, key_col, F.min(id_col).over(w).alias("rep"))
-    members = tagged.select("rep", id_col)
-    reps = tagged.filter(F.col(id_col) == F.col("rep")).select("rep", key_col)
-    return reps, members
+    # An aggregate (partial, map-side) and a join, not a window: a window would
+    # put a hot group of copies into one task.
+    reps = df.groupBy(key_col).agg(F.min(id_col).alias("rep"))
+    members = df.join(reps, key_col).select("rep", id_col)
+    return reps.select("rep", key_col), members
 
 
 def rank_pairs(pairs: DataFrame, ascending: bool) -> DataFrame:

@@ -10,9 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearspark.functions import text as tx
+from nearspark.functions.hashing import md5_mod
+from nearspark.operators import cosine as CS
+from nearspark.operators import evaluate as EV
+from nearspark.operators import graph as GR
+from nearspark.operators import lsa as LS
 from nearspark.operators import minhash as MH
+from nearspark.operators import simhash as SH
 from nearspark.operators import text as TX
+from nearspark.operators import weights as WT
 from nearspark.plans import oracle_sql as O
+from nearspark.session import materialize
 
 QUERIES: dict[str, tuple] = {}
 
@@ -42,3 +51,232 @@ def r6(c: str):
 def minhash_pairs(spark, sf_dir):
     pairs = MH.minhash_pairs(doc_bag(spark, sf_dir), "doc_id")
     return pairs.select("id1", "id2", r6("value"))
+
+
+def doc_vectors(spark, sf_dir, stem: bool = False):
+    """Bag and smoothed L2 TF-IDF vectors of the documents (the label input)."""
+    bag = doc_bag(spark, sf_dir, stem)
+    return bag, WT.tfidf_l2(bag, "doc_id")
+
+
+def doc_labels(spark, sf_dir, threshold: float = 0.8, stem: bool = False):
+    """Components of the TF-IDF cosine graph (> threshold) over non-empty documents."""
+    bag, vecs = doc_vectors(spark, sf_dir, stem)
+    vecs = materialize(vecs)
+    pairs = CS.sparse_cosine_pairs(vecs, "doc_id", threshold, strict=True)
+    nodes, edges = GR.similarity_graph(pairs, bag.select("doc_id").distinct(), "doc_id",
+                                       threshold, strict=True)
+    return GR.connected_components(nodes, edges)
+
+
+# ---------------------------------------------------------- text and bags ---
+
+@register("clean_text", O.clean_text_sql())
+def clean_text(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", tx.clean_text(F.col("text")).alias("cleaned"))
+
+
+@register("tokens", O.tokens_sql())
+def tokens(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    tk = tx.tokens(tx.clean_text(F.col("text")))
+    return d.select("doc_id", F.size(tk).alias("n_tokens"), F.array_join(tk, " ").alias("tokens"))
+
+
+@register("bag_of_words", O.bag_sql())
+def bag_of_words(spark, sf_dir):
+    return doc_bag(spark, sf_dir)
+
+
+@register("nonempty_docs", f"WITH {O.doc_bag_cte()} SELECT DISTINCT id AS doc_id FROM bag")
+def nonempty_docs(spark, sf_dir):
+    return doc_bag(spark, sf_dir).select("doc_id").distinct()
+
+
+@register("flatten_bag", f"""WITH {O.doc_bag_cte()}
+SELECT id AS doc_id, term || k::VARCHAR AS feature
+FROM (SELECT id, term, unnest(range(1, tf + 1)) AS k FROM bag)""")
+def flatten_bag(spark, sf_dir):
+    return TX.flatten_bag(doc_bag(spark, sf_dir), "doc_id")
+
+
+@register("idf_raw", f"""WITH {O.doc_bag_cte()}, {O.idf_raw_cte()}
+SELECT term, df, round(idf, 6) AS idf FROM idf""")
+def idf_raw(spark, sf_dir):
+    return WT.idf_raw(doc_bag(spark, sf_dir), "doc_id").select("term", "df", r6("idf"))
+
+
+@register("tfidf_raw", f"""WITH {O.doc_bag_cte()}, {O.idf_raw_cte()}
+SELECT id AS doc_id, term, round(weight, 6) AS weight FROM wts""")
+def tfidf_raw(spark, sf_dir):
+    return WT.tfidf_raw(doc_bag(spark, sf_dir), "doc_id").select("doc_id", "term", r6("weight"))
+
+
+@register("tfidf_l2", f"""WITH {O.doc_bag_cte()}, {O.tfidf_l2_cte()}
+SELECT id AS doc_id, term, round(w, 6) AS w FROM vec""")
+def tfidf_l2(spark, sf_dir):
+    return WT.tfidf_l2(doc_bag(spark, sf_dir), "doc_id").select("doc_id", "term", r6("w"))
+
+
+# ------------------------------------------------------ MinHash internals ---
+
+@register("feature_hash", f"""WITH {O.doc_bag_cte()}
+SELECT id AS doc_id, term || k::VARCHAR AS feature, {O.md5_mod_sql("term || k::VARCHAR")} AS x
+FROM (SELECT id, term, unnest(range(1, tf + 1)) AS k FROM bag)""")
+def feature_hash(spark, sf_dir):
+    f = TX.flatten_bag(doc_bag(spark, sf_dir), "doc_id")
+    return f.select("doc_id", "feature", md5_mod(F.col("feature")).alias("x"))
+
+
+@register("minhash_sig", f"""WITH {O.doc_bag_cte()}, {O.minhash_sig_cte()}
+SELECT id AS doc_id, string_agg(h::VARCHAR, ',' ORDER BY i) AS signature FROM sigl GROUP BY id""")
+def minhash_sig(spark, sf_dir):
+    s = MH.signatures(doc_bag(spark, sf_dir), "doc_id")
+    return s.select("doc_id", F.array_join("signature", ",").alias("signature"))
+
+
+@register("lsh_index", f"""WITH {O.doc_bag_cte()}, {O.minhash_sig_cte()},
+sig AS (SELECT id, list(h ORDER BY i) AS s FROM sigl GROUP BY id)
+SELECT band, md5('(' || array_to_string(list_slice(s, band * 8 + 1, band * 8 + 8), ', ') || ')') AS bucket,
+       id AS doc_id
+FROM sig, range(16) t(band)""")
+def lsh_index(spark, sf_dir):
+    return MH.lsh_index(MH.signatures(doc_bag(spark, sf_dir), "doc_id"), "doc_id", 16, 8)
+
+
+@register("lsh_probe", f"""WITH {O.doc_bag_cte()}, {O.minhash_sig_cte()},
+sig AS (SELECT id, list(h ORDER BY i) AS s FROM sigl GROUP BY id),
+idx AS (
+  SELECT band, md5('(' || array_to_string(list_slice(s, band * 8 + 1, band * 8 + 8), ', ') || ')') AS bucket, id
+  FROM sig, range(16) t(band))
+SELECT DISTINCT a.id AS probe_id, b.id AS doc_id FROM idx a JOIN idx b USING (band, bucket)""")
+def lsh_probe(spark, sf_dir):
+    """Every document probes an index holding every document (itself included)."""
+    sigs = materialize(MH.signatures(doc_bag(spark, sf_dir), "doc_id"))
+    index = MH.lsh_index(sigs, "doc_id", 16, 8)
+    return MH.lsh_probe(index, sigs.withColumnRenamed("doc_id", "probe_id"), "doc_id", "probe_id")
+
+
+@register("minhash_candidates", f"""WITH {O.doc_bag_cte()}, {O.minhash_sig_cte()},
+matches AS (SELECT a.id AS id1, b.id AS id2, a.i FROM sigl a JOIN sigl b ON a.i = b.i AND a.h = b.h AND a.id < b.id),
+per_band AS (SELECT id1, id2, i // 8 AS band, count(*) AS c FROM matches GROUP BY id1, id2, i // 8),
+shared AS (SELECT DISTINCT id1, id2 FROM per_band WHERE c = 8),
+scored AS (SELECT id1, id2, count(*) AS m FROM matches GROUP BY id1, id2)
+SELECT s.id1, s.id2, round(m / (256.0 - m), 6) AS value FROM scored s JOIN shared USING (id1, id2)""")
+def minhash_candidates(spark, sf_dir):
+    """Every LSH candidate pair with its signature similarity (no threshold)."""
+    pairs = MH.minhash_pairs(doc_bag(spark, sf_dir), "doc_id", jaccard_threshold=0.0)
+    return pairs.select("id1", "id2", r6("value"))
+
+
+# ---------------------------------------------------------------- SimHash ---
+
+@register("simhash_fp", f"""WITH {O.doc_bag_cte()}, {O.idf_raw_cte()}, {O.simhash_fp_cte(64)}
+SELECT id AS doc_id, votes, tail FROM fp""")
+def simhash_fp(spark, sf_dir):
+    feats = SH.weighted_features(doc_bag(spark, sf_dir), "doc_id", "md5")
+    return SH.fingerprints(feats, "doc_id", 64).select("doc_id", "votes", "tail")
+
+
+@register("simhash_pairs", O.simhash_pairs_sql(64, 3))
+def simhash_pairs(spark, sf_dir):
+    feats = SH.weighted_features(doc_bag(spark, sf_dir), "doc_id", "md5")
+    fps = SH.fingerprints(feats, "doc_id", 64)
+    return SH.simhash_pairs(fps, "doc_id", 64, 3)
+
+
+@register("simhash_pairs_32", O.simhash_pairs_sql(32, 6))
+def simhash_pairs_32(spark, sf_dir):
+    feats = SH.weighted_features(doc_bag(spark, sf_dir), "doc_id", "md5")
+    return SH.simhash_pairs(SH.fingerprints(feats, "doc_id", 32), "doc_id", 32, 6)
+
+
+# ------------------------------------------------- cosine, graph, labels ---
+
+@register("tfidf_cosine_pairs", f"""WITH {O.doc_bag_cte()}, {O.tfidf_l2_cte()}, {O.cosine_pairs_cte(0.8, False)}
+SELECT id1, id2, round(value, 6) AS value FROM edges""")
+def tfidf_cosine_pairs(spark, sf_dir):
+    _bag, vecs = doc_vectors(spark, sf_dir)
+    return CS.sparse_cosine_pairs(materialize(vecs), "doc_id", 0.8).select("id1", "id2", r6("value"))
+
+
+@register("lsa_pairs", f"""WITH {O.doc_bag_cte()}, {O.tfidf_l2_cte()}, {O.cosine_pairs_cte(0.8, False)}
+SELECT id1, id2, round(value, 6) AS value FROM edges""")
+def lsa_pairs(spark, sf_dir):
+    """LSA with the default 5000 components: at full rank, LSA cosine = TF-IDF cosine."""
+    bag, vecs = doc_vectors(spark, sf_dir)
+    return LS.lsa_pairs(bag, "doc_id", n_components=5000, cosine_threshold=0.8) \
+        .select("id1", "id2", r6("value"))
+
+
+@register("similarity_graph", f"""WITH {O.doc_bag_cte()}, {O.tfidf_l2_cte()}, {O.cosine_pairs_cte(0.8, True)}
+SELECT id1 AS src, id2 AS dst, round(value, 6) AS weight FROM edges""")
+def similarity_graph(spark, sf_dir):
+    bag, vecs = doc_vectors(spark, sf_dir)
+    pairs = CS.sparse_cosine_pairs(materialize(vecs), "doc_id", 0.8, strict=True)
+    _nodes, edges = GR.similarity_graph(pairs, bag, "doc_id", 0.8)
+    return edges.select("src", "dst", r6("weight"))
+
+
+LABEL_CTES = f"{O.doc_bag_cte()}, {O.tfidf_l2_cte()}, {O.cosine_pairs_cte(0.8, True)}, {O.components_cte()}"
+
+
+@register("components", f"WITH RECURSIVE {LABEL_CTES} SELECT id, component FROM comps")
+def components(spark, sf_dir):
+    return doc_labels(spark, sf_dir)
+
+
+@register("pseudo_labels", f"""WITH RECURSIVE {LABEL_CTES}
+SELECT a.id AS id1, b.id AS id2 FROM comps a JOIN comps b ON a.component = b.component AND a.id < b.id""")
+def pseudo_labels(spark, sf_dir):
+    return GR.pseudo_labels(doc_labels(spark, sf_dir)).select("id1", "id2")
+
+
+# ------------------------------------------------------------- evaluation ---
+
+def _eval_sql(results_cte: str, min_value: float = 0.6) -> str:
+    return f"""WITH RECURSIVE {LABEL_CTES}, {results_cte},
+hits AS (
+  SELECT count(*) AS h FROM res r JOIN comps a ON r.id1 = a.id JOIN comps b ON r.id2 = b.id
+  WHERE a.component = b.component AND r.value >= {min_value}
+),
+labels AS (SELECT sum(m * (m - 1) / 2)::BIGINT AS n FROM (SELECT count(*) AS m FROM comps GROUP BY component))
+SELECT (SELECT count(*) FROM res) AS n_results, (SELECT n FROM labels) AS n_labels, (SELECT h FROM hits) AS hits,
+  round((SELECT h FROM hits)::DOUBLE / nullif((SELECT count(*) FROM res), 0), 6) AS precision,
+  round((SELECT h FROM hits)::DOUBLE / nullif((SELECT n FROM labels), 0), 6) AS recall"""
+
+
+def _eval_out(df):
+    return df.select("n_results", "n_labels", "hits", r6("precision"), r6("recall"))
+
+
+@register("eval_minhash", _eval_sql(O.minhash_res_cte()))
+def eval_minhash(spark, sf_dir):
+    comps = doc_labels(spark, sf_dir)
+    res = MH.minhash_pairs(doc_bag(spark, sf_dir), "doc_id")
+    return _eval_out(EV.evaluate(res, comps))
+
+
+@register("eval_simhash", _eval_sql("""
+{fp},
+res AS (
+  SELECT id1, id2, value FROM (
+    SELECT a.id AS id1, b.id AS id2, bit_count(xor(a.votes, b.votes))
+           + CASE WHEN a.tail <> b.tail THEN 32 ELSE 0 END AS value
+    FROM fp a JOIN fp b ON a.id < b.id) WHERE value <= 3
+)""".replace("{fp}", O.idf_raw_cte() + ",\n" + O.simhash_fp_cte(64))))
+def eval_simhash(spark, sf_dir):
+    comps = doc_labels(spark, sf_dir)
+    feats = SH.weighted_features(doc_bag(spark, sf_dir), "doc_id", "md5")
+    res = SH.simhash_pairs(SH.fingerprints(feats, "doc_id", 64), "doc_id", 64, 3)
+    return _eval_out(EV.evaluate(res, comps))
+
+
+@register("eval_lsa", _eval_sql(
+    "res AS (SELECT id1, id2, value FROM cos WHERE value >= 0.8)"))
+def eval_lsa(spark, sf_dir):
+    bag = doc_bag(spark, sf_dir)
+    comps = doc_labels(spark, sf_dir)
+    res = LS.lsa_pairs(bag, "doc_id", n_components=5000, cosine_threshold=0.8)
+    return _eval_out(EV.evaluate(res, comps))

@@ -73,3 +73,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path inside the shared checkpoint folder (never reused)."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"nearspark-{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df):
+    """Cut lineage for an intermediate used several times (reliable checkpoint).
+
+    Written to the shared checkpoint folder, so it survives executor loss;
+    never a local checkpoint.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
