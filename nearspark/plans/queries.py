@@ -280,3 +280,60 @@ def eval_lsa(spark, sf_dir):
     comps = doc_labels(spark, sf_dir)
     res = LS.lsa_pairs(bag, "doc_id", n_components=5000, cosine_threshold=0.8)
     return _eval_out(EV.evaluate(res, comps))
+
+
+# ------------------------------------------------------------------ pages ---
+
+def page_bag(spark, sf_dir, weight: bool = False, stem: bool = False):
+    return TX.page_bags(read(spark, sf_dir, "pages"), "url", "html", weight=weight, stem=stem)
+
+
+def _token_string(c):
+    toks = F.split(F.trim(tx.clean_text(c)), " +")
+    return F.array_join(F.filter(toks, lambda t: F.length(t) > 0), " ")
+
+
+@register("extract_fields", O.extract_fields_sql())
+def extract_fields(spark, sf_dir):
+    f = TX.extract_fields(read(spark, sf_dir, "pages").select("url", "html"))
+    return f.select("url", _token_string(F.col("heavy")).alias("heavy_tokens"),
+                    _token_string(F.col("light")).alias("light_tokens"))
+
+
+@register("page_bag", f"WITH {O.page_bag_cte(False)} SELECT id AS url, term, tf FROM bag")
+def page_bag_q(spark, sf_dir):
+    return page_bag(spark, sf_dir).withColumnRenamed("doc_id", "url")
+
+
+@register("bag_weighted", f"WITH {O.page_bag_cte(True)} SELECT id AS url, term, tf FROM bag")
+def bag_weighted(spark, sf_dir):
+    return page_bag(spark, sf_dir, weight=True)
+
+
+@register("page_minhash_pairs", f"""WITH {O.page_bag_cte(False)}, {O.minhash_res_cte()}
+SELECT id1, id2, round(value, 6) AS value FROM res""")
+def page_minhash_pairs(spark, sf_dir):
+    pairs = MH.minhash_pairs(page_bag(spark, sf_dir), "url")
+    return pairs.select("id1", "id2", r6("value"))
+
+
+@register("page_simhash_pairs", f"""WITH {O.page_bag_cte(True)}, {O.idf_raw_cte()}, {O.simhash_fp_cte(64)},
+d AS (SELECT a.id AS id1, b.id AS id2, bit_count(xor(a.votes, b.votes))
+             + CASE WHEN a.tail <> b.tail THEN 32 ELSE 0 END AS value
+      FROM fp a JOIN fp b ON a.id < b.id)
+SELECT id1, id2, value::INTEGER AS value FROM d WHERE value <= 3""")
+def page_simhash_pairs(spark, sf_dir):
+    """SimHash over weighted page bags (heavy text counted twice)."""
+    feats = SH.weighted_features(page_bag(spark, sf_dir, weight=True), "url", "md5")
+    return SH.simhash_pairs(SH.fingerprints(feats, "url", 64), "url", 64, 3)
+
+
+@register("page_labels", f"""WITH RECURSIVE {O.page_bag_cte(False)}, {O.tfidf_l2_cte()}, {O.cosine_pairs_cte(0.8, True)},
+{O.components_cte()}
+SELECT id AS url, component FROM comps""")
+def page_labels(spark, sf_dir):
+    bag = page_bag(spark, sf_dir)
+    vecs = materialize(WT.tfidf_l2(bag, "url"))
+    pairs = CS.sparse_cosine_pairs(vecs, "url", 0.8, strict=True)
+    nodes, edges = GR.similarity_graph(pairs, bag.select("url").distinct(), "url", 0.8)
+    return GR.connected_components(nodes, edges).withColumnRenamed("id", "url")
