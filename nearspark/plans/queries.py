@@ -11,17 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearspark.functions import text as tx
-from nearspark.functions.hashing import md5_mod
+from nearspark.functions.hashing import md5_mod, term_hash32
 from nearspark.operators import cosine as CS
 from nearspark.operators import evaluate as EV
 from nearspark.operators import graph as GR
 from nearspark.operators import lsa as LS
 from nearspark.operators import minhash as MH
+from nearspark.operators import pairs as PR
 from nearspark.operators import simhash as SH
 from nearspark.operators import text as TX
 from nearspark.operators import weights as WT
 from nearspark.plans import oracle_sql as O
-from nearspark.session import materialize
+from nearspark.session import materialize, shared_path
+from nearspark.sources import index as IX
+from nearspark.sources import pages as PG
+from nearspark.sources import warc as WA
 
 QUERIES: dict[str, tuple] = {}
 
@@ -337,3 +341,211 @@ def page_labels(spark, sf_dir):
     pairs = CS.sparse_cosine_pairs(vecs, "url", 0.8, strict=True)
     nodes, edges = GR.similarity_graph(pairs, bag.select("url").distinct(), "url", 0.8)
     return GR.connected_components(nodes, edges).withColumnRenamed("id", "url")
+
+
+# ----------------------------------------------------------------- ingest ---
+# Index records are derived from ``pages`` the same way on both sides:
+# language from the URL path, status 301 for URLs with a query string,
+# no language field on mobile hosts, a second language when the URL has a
+# fragment, offsets from page_id.
+
+_LANG = "regexp_extract(url, '^[a-z]+://[^/]+/([a-z]{2})/', 1)"
+_IDX_SQL = f"""
+idx AS (
+  SELECT url, 'text/html' AS mime,
+    CASE WHEN contains(url, '?') THEN '301' ELSE '200' END AS status,
+    CASE WHEN regexp_matches(url, '^[a-z]+://m[.]') THEN NULL
+         WHEN contains(url, '#') THEN code || ',fra' ELSE code END AS languages,
+    'UTF-8' AS encoding, 'crawl/' || lang || '.warc.gz' AS filename,
+    (page_id * 100000)::VARCHAR AS "offset", length(html)::VARCHAR AS length
+  FROM (SELECT *, {_LANG} AS lang,
+          CASE {_LANG} WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu'
+                       WHEN 'es' THEN 'spa' END AS code FROM pages)
+)"""
+_IDX_COLS = 'url, mime, status, languages, encoding, filename, "offset", length'
+
+
+def index_lines(spark, sf_dir):
+    """JSON index lines built from ``pages`` (fields are strings, nulls omitted)."""
+    p = read(spark, sf_dir, "pages")
+    lang = F.regexp_extract("url", r"^[a-z]+://[^/]+/([a-z]{2})/", 1)
+    code = (F.when(lang == "en", "eng").when(lang == "fr", "fra").when(lang == "de", "deu")
+            .when(lang == "es", "spa"))
+    languages = (F.when(F.col("url").rlike(r"^[a-z]+://m[.]"), F.lit(None))
+                 .when(F.col("url").contains("#"), F.concat(code, F.lit(",fra"))).otherwise(code))
+    rec = F.struct(
+        F.col("url"), F.lit("text/html").alias("mime"),
+        F.when(F.col("url").contains("?"), "301").otherwise("200").alias("status"),
+        languages.alias("languages"), F.lit("UTF-8").alias("encoding"),
+        F.concat(F.lit("crawl/"), lang, F.lit(".warc.gz")).alias("filename"),
+        (F.col("page_id") * 100000).cast("string").alias("offset"),
+        F.length("html").cast("string").alias("length"))
+    return p.select(F.to_json(rec).alias("line"))
+
+
+@register("index_scan", f"WITH {_IDX_SQL} SELECT {_IDX_COLS} FROM idx")
+def index_scan(spark, sf_dir):
+    return IX.parse_index_lines(index_lines(spark, sf_dir))
+
+
+@register("index_filter", f"""WITH {_IDX_SQL} SELECT {_IDX_COLS} FROM idx
+WHERE starts_with(url, 'https') AND mime = 'text/html' AND status = '200'
+  AND languages = 'eng' AND encoding = 'UTF-8'""")
+def index_filter(spark, sf_dir):
+    return IX.filter_index(IX.parse_index_lines(index_lines(spark, sf_dir)))
+
+
+@register("domain_filter", f"""WITH {_IDX_SQL},
+h AS (SELECT *, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host FROM idx)
+SELECT {_IDX_COLS} FROM h WHERE host = 'example.com' OR ends_with(host, '.example.com')""")
+def domain_filter(spark, sf_dir):
+    return IX.domain_filter(IX.parse_index_lines(index_lines(spark, sf_dir)), "example.com")
+
+
+@register("byte_ranges", f"""WITH {_IDX_SQL}
+SELECT {_IDX_COLS}, "offset"::BIGINT AS start, "offset"::BIGINT + length::BIGINT - 1 AS "end",
+  'bytes=' || "offset" || '-' || ("offset"::BIGINT + length::BIGINT - 1)::VARCHAR AS range
+FROM idx WHERE starts_with(url, 'https') AND mime = 'text/html' AND status = '200'
+  AND languages = 'eng' AND encoding = 'UTF-8'""")
+def byte_ranges(spark, sf_dir):
+    return IX.byte_ranges(IX.filter_index(IX.parse_index_lines(index_lines(spark, sf_dir))))
+
+
+def _duplicated_pages(spark, sf_dir):
+    p = read(spark, sf_dir, "pages")
+    first = p.select("url", "html", F.lit("crawl/a.warc.gz").alias("filename"),
+                     (F.col("page_id") * 100000).alias("offset"))
+    second = p.select("url", F.concat("html", F.lit("<!-- copy -->")).alias("html"),
+                      F.when(F.col("url").contains("?"), "crawl/0.warc.gz")
+                      .otherwise("crawl/a.warc.gz").alias("filename"),
+                      (F.col("page_id") * 100000 + 50000).alias("offset"))
+    return first.unionByName(second)
+
+
+@register("dedupe_url", """WITH d AS (
+  SELECT url, html, 'crawl/a.warc.gz' AS filename, page_id * 100000 AS "offset" FROM pages
+  UNION ALL
+  SELECT url, html || '<!-- copy -->',
+         CASE WHEN contains(url, '?') THEN 'crawl/0.warc.gz' ELSE 'crawl/a.warc.gz' END,
+         page_id * 100000 + 50000 FROM pages)
+SELECT url, html, filename, "offset" FROM (
+  SELECT *, row_number() OVER (PARTITION BY url ORDER BY filename, "offset") AS rn FROM d) WHERE rn = 1""")
+def dedupe_url(spark, sf_dir):
+    return PG.dedupe_urls(_duplicated_pages(spark, sf_dir))
+
+
+def _warc_roundtrip(spark, sf_dir, broken_every: int = 0):
+    out = shared_path(spark, "warc")
+    index = materialize(WA.write_warc(read(spark, sf_dir, "pages"), out,
+                                      broken_every=broken_every))
+    plan = IX.byte_ranges(index)
+    return plan, WA.fetch_records(plan)
+
+
+@register("warc_pages", "SELECT url, html FROM pages")
+def warc_pages(spark, sf_dir):
+    """pages -> .warc.gz files (shared folder) -> byte-range fetch -> first-wins pages."""
+    _plan, fetched = _warc_roundtrip(spark, sf_dir)
+    good = fetched.filter(F.col("error").isNull())
+    return PG.dedupe_urls(good.select("url", "html", "filename", "offset")).select("url", "html")
+
+
+@register("warc_skips", None)
+def warc_skips(spark, sf_dir):
+    """Planned records, pages read and records skipped with every 7th response corrupt."""
+    plan, fetched = _warc_roundtrip(spark, sf_dir, broken_every=7)
+    return WA.fetch_summary(fetched, plan)
+
+
+@register("page_scan", "SELECT url, html FROM pages")
+def page_scan(spark, sf_dir):
+    path = shared_path(spark, "pages")
+    PG.write_pages(read(spark, sf_dir, "pages"), path)
+    return PG.read_pages(spark, path)
+
+
+# ------------------------------------------------------- shared / reports ---
+
+@register("ranked_pairs", f"""WITH {O.doc_bag_cte()}, {O.minhash_res_cte()}
+SELECT id1, id2, round(value, 6) AS value,
+       row_number() OVER (ORDER BY value DESC, id1, id2) AS rank FROM res""")
+def ranked_pairs(spark, sf_dir):
+    pairs = MH.minhash_pairs(doc_bag(spark, sf_dir), "doc_id")
+    return PR.rank_pairs(pairs, ascending=False).select("id1", "id2", r6("value"), "rank")
+
+
+@register("stage_counts", f"""WITH {O.doc_bag_cte()}
+SELECT 'documents' AS stage, count(*) AS n FROM documents
+UNION ALL SELECT 'bags', count(DISTINCT id) FROM bag
+UNION ALL SELECT 'bag_rows', count(*) FROM bag
+UNION ALL SELECT 'features', sum(tf)::BIGINT FROM bag
+UNION ALL SELECT 'terms', count(DISTINCT term) FROM bag""")
+def stage_counts(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    bag = doc_bag(spark, sf_dir)
+    zero = F.lit(0).cast("bigint")
+    a = docs.agg(F.count(F.lit(1)).alias("n")).select(F.lit("documents").alias("stage"), "n")
+    b = bag.agg(F.count_distinct("doc_id").alias("bags"), F.count(F.lit(1)).alias("bag_rows"),
+                F.coalesce(F.sum("tf"), zero).alias("features"),
+                F.count_distinct("term").alias("terms"))
+    stacked = b.select(F.expr("stack(4, 'bags', bags, 'bag_rows', bag_rows, 'features', features, "
+                              "'terms', terms) AS (stage, n)"))
+    return a.unionByName(stacked)
+
+
+# --------------------------------------------------------- dense vectors ---
+
+@register("embedding_cosine_pairs", """WITH e AS (
+  SELECT vec_id, i, x::DOUBLE AS x FROM (
+    SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings)),
+n AS (SELECT vec_id, sqrt(sum(x * x)) AS nrm FROM e GROUP BY vec_id),
+d AS (SELECT a.vec_id AS id1, b.vec_id AS id2, sum(a.x * b.x) AS dot
+      FROM e a JOIN e b ON a.i = b.i AND a.vec_id < b.vec_id GROUP BY a.vec_id, b.vec_id)
+SELECT id1, id2, round(dot / (n1.nrm * n2.nrm), 6) AS value
+FROM d JOIN n n1 ON d.id1 = n1.vec_id JOIN n n2 ON d.id2 = n2.vec_id
+WHERE n1.nrm > 0 AND n2.nrm > 0 AND dot / (n1.nrm * n2.nrm) >= 0.5""")
+def embedding_cosine_pairs(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    vec = e.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return CS.dense_cosine_pairs(vec, "vec_id", "embedding", 0.5).select("id1", "id2", r6("value"))
+
+
+# -------------------------------------- reference defaults without oracle ---
+# Porter stemming and Murmur3 have no DuckDB counterpart; these run the
+# reference's default settings and are checked by unit tests instead.
+
+@register("stem_vocab", None)
+def stem_vocab(spark, sf_dir):
+    vocab = doc_bag(spark, sf_dir).select("term").distinct()
+    return vocab.select("term", TX.stem_column(F.col("term")).alias("stem"))
+
+
+@register("minhash_pairs_stemmed", None)
+def minhash_pairs_stemmed(spark, sf_dir):
+    pairs = MH.minhash_pairs(doc_bag(spark, sf_dir, stem=True), "doc_id")
+    return pairs.select("id1", "id2", r6("value"))
+
+
+@register("simhash_pairs_murmur", None)
+def simhash_pairs_murmur(spark, sf_dir):
+    feats = SH.weighted_features(doc_bag(spark, sf_dir, stem=True), "doc_id", "murmur3")
+    return SH.simhash_pairs(SH.fingerprints(feats, "doc_id", 64), "doc_id", 64, 3)
+
+
+@register("term_hash_murmur", None)
+def term_hash_murmur(spark, sf_dir):
+    vocab = doc_bag(spark, sf_dir).select("term").distinct()
+    return vocab.select("term", term_hash32(F.col("term"), "murmur3").alias("h"))
+
+
+@register("pseudo_labels_stemmed", None)
+def pseudo_labels_stemmed(spark, sf_dir):
+    return GR.pseudo_labels(doc_labels(spark, sf_dir, stem=True)).select("id1", "id2")
+
+
+@register("lsa_pairs_k64", None)
+def lsa_pairs_k64(spark, sf_dir):
+    """Truncated LSA (64 components, randomized SVD on Spark), cosine >= 0.8."""
+    bag = doc_bag(spark, sf_dir)
+    return LS.lsa_pairs(bag, "doc_id", n_components=64, cosine_threshold=0.8) \
+        .select("id1", "id2", r6("value"))
