@@ -39,25 +39,87 @@ def prefix_entries(vecs: DataFrame, id_col: str, threshold: float) -> DataFrame:
     tail = Window.partitionBy(id_col).orderBy(F.col("df").desc(), F.col("term").desc()) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     with_tail = vecs.withColumn("_tail2", F.sum(F.col("w") * F.col("w")).over(tail))
-    return with_tail.filter(F.col("_tail2") >= F.lit(threshold * threshold - _EPS)).drop("_tail2")
+    return (with_tail.filter(F.col("_tail2") >= F.lit(threshold * threshold - _EPS))
+            .withColumn("_tail", F.sqrt("_tail2")).drop("_tail2"))
 
 
 def sparse_cosine_pairs(vecs: DataFrame, id_col: str = "doc_id", threshold: float = 0.8,
-                        strict: bool = False, tile_size: int = P.DEFAULT_TILE) -> DataFrame:
+                        strict: bool = False, tile_size: int = P.DEFAULT_TILE,
+                        block_docs: int = 2048) -> DataFrame:
     """All pairs ``(id1, id2, value)`` of unit sparse vectors with cosine >= t (> t if strict).
 
     ``vecs`` has ``(id, term, w, df)``; ``df`` fixes the global term order.
     """
-    prefix = prefix_entries(vecs, id_col, threshold).select(id_col, "term")
-    cands = (P.group_self_pairs(prefix, ["term"], id_col, tile_size=tile_size)
+    prefix = prefix_entries(vecs, id_col, threshold).select(id_col, "term", "_tail")
+    # At a pair's first shared term c, x.y <= tail_x(c) * tail_y(c). Later shared
+    # terms have smaller tails, so dropping join rows whose tail product is below
+    # t keeps every true pair (through its first shared term) and removes most
+    # repeated rows of near-copies before the distinct.
+    joined = P.group_self_pairs(prefix, ["term"], id_col, ["_tail"], tile_size=tile_size)
+    cands = (joined.filter(F.col("_tail_1") * F.col("_tail_2") >= F.lit(threshold - _EPS))
              .select("id1", "id2").distinct())
-    left = vecs.select(F.col(id_col).alias("id1"), "term", F.col("w").alias("w1"))
-    right = vecs.select(F.col(id_col).alias("id2"), "term", F.col("w").alias("w2"))
-    spread = cands.join(left, "id1")
-    scored = (spread.join(right, ["id2", "term"])
-              .groupBy("id1", "id2").agg(F.sum(F.col("w1") * F.col("w2")).alias("value")))
-    cond = F.col("value") > threshold if strict else F.col("value") >= threshold
-    return scored.filter(cond)
+    return verify_candidates(cands, vecs, id_col, threshold, strict, block_docs)
+
+
+def _dot_fn(threshold: float, strict: bool):
+    def run(cpdf: pd.DataFrame, vpdf: pd.DataFrame) -> pd.DataFrame:
+        if len(cpdf) == 0 or len(vpdf) == 0:
+            return pd.DataFrame({"id1": cpdf["id1"].iloc[:0], "id2": cpdf["id2"].iloc[:0],
+                                 "value": pd.Series([], dtype="float64")})
+        # task-local integer ids for the terms of this block pair (exact, no hashing)
+        _u, tint = np.unique(vpdf["term"].to_numpy(dtype=object), return_inverse=True)
+        ids = vpdf["id"].to_numpy()
+        order = np.lexsort((tint, ids))
+        ids, tint, w = ids[order], tint[order], vpdf["w"].to_numpy()[order]
+        uid, start, counts = np.unique(ids, return_index=True, return_counts=True)
+        n_terms = int(tint.max()) + 1
+        keys = np.searchsorted(uid, ids).astype(np.int64) * n_terms + tint  # sorted
+        a = np.searchsorted(uid, cpdf["id1"].to_numpy())
+        b = np.searchsorted(uid, cpdf["id2"].to_numpy())
+        small, big = np.where(counts[a] <= counts[b], a, b), np.where(counts[a] <= counts[b], b, a)
+        dots = np.zeros(len(a))
+        # walk the smaller vector of every pair, look its terms up in the other one
+        bounds = np.cumsum(counts[small])
+        lo = 0
+        while lo < len(a):
+            hi = int(np.searchsorted(bounds, (bounds[lo - 1] if lo else 0) + (1 << 22), "right"))
+            hi = max(hi, lo + 1)
+            lens = counts[small[lo:hi]]
+            k = np.repeat(np.arange(hi - lo), lens)
+            first = np.repeat(start[small[lo:hi]] - (np.cumsum(lens) - lens), lens)
+            rows = first + np.arange(len(k))
+            probe = big[lo:hi][k].astype(np.int64) * n_terms + tint[rows]
+            pos = np.minimum(np.searchsorted(keys, probe), len(keys) - 1)
+            contrib = np.where(keys[pos] == probe, w[rows] * w[pos], 0.0)
+            dots[lo:hi] = np.bincount(k, weights=contrib, minlength=hi - lo)
+            lo = hi
+        keep = dots > threshold if strict else dots >= threshold
+        return pd.DataFrame({"id1": cpdf["id1"].to_numpy()[keep], "id2": cpdf["id2"].to_numpy()[keep],
+                             "value": dots[keep]})
+    return run
+
+
+def verify_candidates(cands: DataFrame, vecs: DataFrame, id_col: str, threshold: float,
+                      strict: bool = False, block_docs: int = 2048) -> DataFrame:
+    """Exact cosine of candidate pairs, computed per block pair.
+
+    Documents are hashed into blocks of about ``block_docs``; each candidate
+    belongs to one block pair, and a document's vector is shipped once to each
+    block pair it has a candidate in (not once per candidate). Each block pair
+    is one cogroup: candidates plus the vectors they need, dot products in numpy.
+    """
+    n_blocks = F.greatest(F.lit(1), F.ceil(
+        vecs.select(F.count_distinct(id_col)).scalar() / F.lit(block_docs)))
+    blk = lambda c: F.pmod(F.xxhash64(c), n_blocks)
+    c = cands.select("id1", "id2", F.least(blk("id1"), blk("id2")).alias("_lo"),
+                     F.greatest(blk("id1"), blk("id2")).alias("_hi"))
+    need = (c.select(F.col("_lo").alias("_vlo"), F.col("_hi").alias("_vhi"), F.col("id1").alias("id"))
+            .union(c.select("_lo", "_hi", "id2")).distinct())
+    rows = need.join(vecs.select(F.col(id_col).alias("id"), "term", "w"), "id")
+    id_type = vecs.schema[id_col].dataType.simpleString()
+    return (c.groupBy("_lo", "_hi").cogroup(rows.groupBy("_vlo", "_vhi"))
+            .applyInPandas(_dot_fn(threshold, strict),
+                           f"id1 {id_type}, id2 {id_type}, value double"))
 
 
 def _block_cosine_fn(id_col: str, vec_col: str, threshold: float):

@@ -42,7 +42,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def doc_bag(spark: SparkSession, sf_dir: str, stem: bool = False) -> DataFrame:
-    return TX.bag_of_words(read(spark, sf_dir, "documents"), "doc_id", "text", stem=stem)
+    """The documents' bag, checkpointed: every pipeline reads it several times
+    (corpus size, document frequencies, weights)."""
+    bag = TX.bag_of_words(read(spark, sf_dir, "documents"), "doc_id", "text", stem=stem)
+    return materialize(bag)
 
 
 def r6(c: str):
@@ -289,7 +292,8 @@ def eval_lsa(spark, sf_dir):
 # ------------------------------------------------------------------ pages ---
 
 def page_bag(spark, sf_dir, weight: bool = False, stem: bool = False):
-    return TX.page_bags(read(spark, sf_dir, "pages"), "url", "html", weight=weight, stem=stem)
+    return materialize(TX.page_bags(read(spark, sf_dir, "pages"), "url", "html",
+                                    weight=weight, stem=stem))
 
 
 def _token_string(c):
