@@ -553,3 +553,25 @@ def lsa_pairs_k64(spark, sf_dir):
     bag = doc_bag(spark, sf_dir)
     return LS.lsa_pairs(bag, "doc_id", n_components=64, cosine_threshold=0.8) \
         .select("id1", "id2", r6("value"))
+
+
+# -------------------------------------------------------------- streaming ---
+
+@register("stream_lsh_probe", f"""WITH {O.doc_bag_cte()}, {O.minhash_sig_cte()},
+sig AS (SELECT id, list(h ORDER BY i) AS s FROM sigl GROUP BY id),
+idx AS (
+  SELECT band, md5('(' || array_to_string(list_slice(s, band * 8 + 1, band * 8 + 8), ', ') || ')') AS bucket, id
+  FROM sig, range(16) t(band))
+SELECT DISTINCT a.id AS probe_id, b.id AS doc_id FROM idx a JOIN idx b USING (band, bucket)""")
+def stream_lsh_probe(spark, sf_dir):
+    """Store the index of all documents, then stream the documents table through
+    the probe (Structured Streaming, availableNow) and read the sink back."""
+    from nearspark.streaming import lsh_probe as ST
+    base = shared_path(spark, "stream")
+    sigs = MH.signatures(doc_bag(spark, sf_dir), "doc_id")
+    ST.save_index(sigs, f"{base}/lsh")
+    q = ST.start_probe_stream(spark, sf_dir, f"{base}/lsh", f"{base}/out", f"{base}/ckpt",
+                              schema="doc_id long, text string, lang string, source string, n_chars long",
+                              path_glob="documents.parquet")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("epoch")
