@@ -575,3 +575,19 @@ def stream_lsh_probe(spark, sf_dir):
                               path_glob="documents.parquet")
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out").drop("epoch")
+
+
+@register("lsa_topics", None)
+def lsa_topics(spark, sf_dir):
+    """Topic-word matrix (V^T) of a 16-component LSA, long form."""
+    _bag, vecs = doc_vectors(spark, sf_dir)
+    _emb, topics, _var = LS.lsa_model(vecs, "doc_id", n_components=16)
+    return topics.select("component", "term", r6("weight"))
+
+
+@register("lsa_variance", None)
+def lsa_variance(spark, sf_dir):
+    """Explained-variance ratio of each of 16 LSA components."""
+    _bag, vecs = doc_vectors(spark, sf_dir)
+    _emb, _topics, var = LS.lsa_model(vecs, "doc_id", n_components=16)
+    return var.select("component", r6("explained_variance_ratio"))

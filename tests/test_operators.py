@@ -234,3 +234,23 @@ def test_warc_roundtrip_counts_broken_records(spark, sf, tmp_path):
     s = WA.fetch_summary(fetched, plan).first()
     n = pages.count()
     assert s["planned"] == 2 * n and s["pages"] + s["skipped"] == n and s["skipped"] > 0
+
+
+def test_lsa_topics_and_explained_variance_match_numpy(spark, sf):
+    bag = TX.bag_of_words(spark.read.parquet(f"{sf}/documents.parquet"))
+    vecs = WT.tfidf_l2(bag).cache()
+    ids, m = _numpy_vectors(vecs)
+    terms = sorted({r["term"] for r in vecs.select("term").distinct().collect()})
+    k = 6
+    _emb, topics, var = LS.lsa_model(vecs, n_components=k, oversample=10, n_iter=6)
+    _u, s, vt = np.linalg.svd(m, full_matrices=False)
+    got_vt = np.zeros((k, len(terms)))
+    tix = {t: i for i, t in enumerate(terms)}
+    for r in topics.collect():
+        got_vt[r["component"], tix[r["term"]]] = r["weight"]
+    # rows of V^T agree up to sign
+    for c in range(k):
+        assert min(np.abs(got_vt[c] - vt[c]).max(), np.abs(got_vt[c] + vt[c]).max()) < 2e-2
+    want = np.var(m @ vt[:k].T, axis=0) / np.var(m, axis=0).sum()
+    got = np.array([r["explained_variance_ratio"] for r in var.orderBy("component").collect()])
+    assert np.allclose(got, want, rtol=2e-2, atol=1e-4)
