@@ -23,12 +23,15 @@ def canonical(df: DataFrame, a: str, b: str, out1: str = "id1", out2: str = "id2
 
 
 def tile_keys(df: DataFrame, group_cols: list[str], id_col: str, payload: list[str],
-              tile_size: int) -> DataFrame:
+              tile_size: int, min_size: int = 1) -> DataFrame:
     """Copy each row to the tile pairs ``(_lo, _hi)`` of its group (see below).
 
     Output columns: group columns, id, payload, ``_t`` (own tile), ``_lo``, ``_hi``.
+    Groups smaller than ``min_size`` are dropped.
     """
     sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    if min_size > 1:
+        sizes = sizes.filter(F.col("_n") >= min_size)
     sized = df.join(sizes, group_cols).withColumn(
         "_s", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(tile_size))).cast("int"))
     tiled = sized.withColumn("_t", F.pmod(F.xxhash64(F.col(id_col)), F.col("_s")).cast("int"))
@@ -52,7 +55,7 @@ def group_self_pairs(df: DataFrame, group_cols: list[str], id_col: str,
     spread over ``s(s+1)/2`` tasks. Groups below ``tile_size`` are not copied.
     """
     payload = payload or []
-    keyed = tile_keys(df, group_cols, id_col, payload, tile_size)
+    keyed = tile_keys(df, group_cols, id_col, payload, tile_size, min_size=2)
     left = keyed.select(*group_cols, "_lo", "_hi", F.col(id_col).alias(out1),
                         *[F.col(p).alias(f"{p}_1") for p in payload])
     right = keyed.select(*group_cols, "_lo", "_hi", F.col(id_col).alias(out2),
