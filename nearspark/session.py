@@ -75,6 +75,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"nearspark-{name}-{uuid.uuid4().hex[:12]}")
 
 
+def local_path(path: str) -> str:
+    """A ``file:`` URI as a plain path for Python-side file I/O.
+
+    Spark readers and writers take URIs as they are; code that opens files from
+    Python (the WARC writer and reader) needs the path itself, on storage every
+    executor mounts.
+    """
+    if path.startswith("file://"):
+        return path[len("file://"):]
+    if path.startswith("file:"):
+        return "/" + path[len("file:"):].lstrip("/")
+    return path
+
+
 def materialize(df):
     """Cut lineage for an intermediate used several times (reliable checkpoint).
 

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearspark.session import local_path
+
 OUT_SCHEMA = "url string, html string, filename string, offset bigint, error string"
 
 
@@ -43,6 +45,8 @@ def write_warc(pages: DataFrame, out_dir: str, url_col: str = "url", html_col: s
     File names depend only on the partition, so a retried task rewrites the
     same file.
     """
+    out_dir = local_path(out_dir)
+
     def run(batches):
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
