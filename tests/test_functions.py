@@ -95,3 +95,10 @@ def test_parameter_rules():
         params.check_lsa(10, 1.5)
     with pytest.raises(ValueError):
         params.check_method("bogus")
+
+
+def test_local_path_strips_file_scheme():
+    from nearspark.session import local_path
+    assert local_path("file:/tmp/x") == "/tmp/x"
+    assert local_path("file:///tmp/x") == "/tmp/x"
+    assert local_path("/tmp/x") == "/tmp/x"
