@@ -2,13 +2,14 @@
 
 Library code never invents storage: anything that must outlive a stage
 (checkpoints, a stored LSH index, round-trip fixtures) goes under the folder the
-cluster names in ``spark.checkpoint.dir``. Only tests and the bench set that
-folder themselves, and only when the session has none.
+cluster names in ``spark.checkpoint.dir``. Only a single-process session
+(tests, bench) that names none gets a temporary one.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -42,16 +43,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark, allow_local_fallback=True)
+    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, allow_local_fallback: bool = False) -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, registering it with the context.
 
-    The folder comes from ``spark.checkpoint.dir``. Only when that is unset and
-    ``allow_local_fallback`` is true (tests, local bench) is a fresh local
-    folder created.
+    The folder comes from ``spark.checkpoint.dir``. Where that is unset, a fresh
+    temporary folder serves a session whose executors all run in this process
+    (``local[...]``: tests, bench); a cluster session must name its folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -60,7 +61,7 @@ def ensure_checkpoint_dir(spark: SparkSession, allow_local_fallback: bool = Fals
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        if not allow_local_fallback:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; point it at a folder every executor can reach")
         configured = tempfile.mkdtemp(prefix="nearspark-ckpt-")
