@@ -47,6 +47,7 @@ from nearspark.operators.graph import connected_components
 
 _U = np.uint64
 FILTER_BITS = 24  # 2 MiB as packed bits, whatever the corpus
+GROUPS = 128  # counters of a sketch
 
 
 def largest_partner(s: int, similarity: int) -> int:
@@ -75,6 +76,16 @@ def band_of(s: int, similarity: int) -> int:
     return int(np.searchsorted(band_edges(similarity), s, side="right")) - 1
 
 
+def _excess(mean: float, spare: int) -> float:
+    """Expected amount by which a Poisson variable exceeds ``spare``."""
+    p, below, total = math.exp(-mean), 0.0, 0.0
+    for j in range(spare + 1):
+        below += p
+        total += (spare - j) * p
+        p *= mean / (j + 1)
+    return max(0.0, mean - spare + total) if spare < 4 * mean + 40 else 0.0
+
+
 @lru_cache(maxsize=None)
 def scheme_for(band: int, similarity: int) -> tuple[int, int]:
     """``(m, u)`` of a band: all segments, and those indexed with deletions."""
@@ -82,20 +93,18 @@ def scheme_for(band: int, similarity: int) -> tuple[int, int]:
     need = max(max_difference(a, largest_partner(a, similarity), similarity)
                for a in range(max(lo, hi - 9), hi + 1)) + 1
     best = None
-    for spare in sorted({0, *(round(need * f / 20) for f in range(1, 6))}):
+    for spare in sorted({*range(0, min(need, 8) + 1), *(round(need * f / 20) for f in range(1, 7))}):
         cover = need + 2 * spare
         for f in (1, 2, 4, 8, 16):  # deletion segments, in sixteenths of all
             m = max(1, min(cover - 1, round(cover / (1 + f / 16))))
             u = cover - m
             if u > m:
                 continue
-            load = (lo + hi) / 2 / m
-            few = [m * math.exp(-load) * load ** j / math.factorial(j) for j in range(3)]
-            plain, deleted = (m - u) / m, u / m
-            empty = few[0] + deleted * few[1]
-            single = plain * few[1] + deleted * few[2]
-            left = max(0.0, empty + single - spare)
-            cost = (m - u) + u * (1 + load) - spare + min(left, single) + 1000 * max(0.0, left - single)
+            load = lo / m
+            plain, deleted = (m - u) * math.exp(-load), u * math.exp(-load)
+            empty = _excess(plain + 2 * deleted * (1 + load), spare)
+            single = _excess(plain * (1 + load) + 2 * deleted * (1 + load + load * load / 2), spare)
+            cost = (m - u) + u * (1 + load) - spare + single + 100 * empty
             if best is None or cost < best[0]:
                 best = (cost, m, u)
     return best[1], best[2]
@@ -158,25 +167,41 @@ def _sets(batch: pa.RecordBatch, k: int):
         yield a, [np.unique(h[first[i]:first[i + 1]]) for i in range(n)]
 
 
+def sketch(distinct: np.ndarray) -> bytes:
+    """Shingles per hash group, cut at 255. The L1 distance of two sketches never
+    exceeds the symmetric difference of the sets."""
+    counts = np.bincount((T.mix(distinct) >> _U(57)).astype(np.int64), minlength=GROUPS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def may_link(n1, sk1: np.ndarray, n2, sk2: np.ndarray, similarity: int) -> np.ndarray:
+    """Which pairs of sets (sizes, sketch rows) the sizes and sketches do not rule out."""
+    total = n1 + n2
+    most = total - 2 * -(-similarity * total // (100 + similarity))
+    apart = np.abs(sk1.astype(np.int16) - sk2.astype(np.int16)).sum(axis=1, dtype=np.int64)
+    return (np.abs(n1 - n2) <= most) & (apart <= most)
+
+
 def _describe(k: int):
     def run(batches):
         for batch in batches:
-            sizes, classes = [], []
+            sizes, classes, sketches = [], [], []
             for _, sets in _sets(batch, k):
                 sizes += [len(x) for x in sets]
+                sketches += [sketch(x) for x in sets]
                 classes.append(np.array([class_hash(x) if len(x) else 0 for x in sets], np.uint64))
             if sizes:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(T.signed(np.concatenate(classes)))],
-                    names=["doc_id", "n_shingles", "cls"])
+                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(T.signed(np.concatenate(classes))),
+                     pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "cls", "sk"])
     return run
 
 
 def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """``(doc_id, n_shingles, cls)``: set size and class hash of each row."""
+    """``(doc_id, n_shingles, cls, sk)``: set size, class hash and sketch of each row."""
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _describe(k), f"doc_id {kind}, n_shingles long, cls long")
+        _describe(k), f"doc_id {kind}, n_shingles long, cls long, sk binary")
 
 
 def _index(k: int, similarity: int, parts: int):
@@ -294,27 +319,44 @@ def _sets_for(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int) ->
     return texts.select("text", "cls").mapInArrow(_shingle_arrays(k), "cls long, sh array<long>")
 
 
-def _size_ok(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
-    """Drop pairs whose sizes alone rule a link out."""
-    n = classes.select("cls", "n")
-    out = (pairs.join(n.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a")
-           .join(n.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b"))
-    return out.filter((100 * F.col("na") >= similarity * F.col("nb"))
-                      & (100 * F.col("nb") >= similarity * F.col("na"))).select("a", "b")
+def _rows_of(sketches: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, GROUPS)
 
 
-def _cross_pairs(batches):
-    """Member pairs of a bucket that lie in different components, in bounded blocks."""
-    for batch in batches:
-        for members in batch.column("members"):
-            ids = np.array([m["cls"] for m in members.as_py()], np.int64)
-            comp = np.array([m["comp"] for m in members.as_py()], np.int64)
-            for i in range(len(ids)):
-                other = ids[i + 1:][comp[i + 1:] != comp[i]]
-                for j in range(0, len(other), 100_000):
-                    o = other[j:j + 100_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(ids[i], o)), pa.array(np.maximum(ids[i], o))], names=["a", "b"])
+def _plausible(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
+    """Drop pairs that sizes or sketches rule out."""
+    def run(batches):
+        for x in batches:
+            if x.num_rows:
+                ok = may_link(x.column("na").to_numpy(), _rows_of(x.column("ska")),
+                              x.column("nb").to_numpy(), _rows_of(x.column("skb")), similarity)
+                yield x.select(["a", "b"]).filter(pa.array(ok))
+
+    both = (pairs.join(classes.selectExpr("cls AS a", "n AS na", "sk AS ska"), "a")
+            .join(classes.selectExpr("cls AS b", "n AS nb", "sk AS skb"), "b"))
+    near = both.filter((100 * F.col("na") >= similarity * F.col("nb"))
+                       & (100 * F.col("nb") >= similarity * F.col("na")))
+    return near.mapInArrow(run, "a long, b long")
+
+
+def _cross_pairs(similarity: int):
+    """Plausible member pairs of a bucket that lie in different components, in bounded blocks."""
+    def run(batches):
+        for batch in batches:
+            for members in batch.column("members"):
+                flat = members.values
+                ids, comp, n = (flat.field(f).to_numpy() for f in ("cls", "comp", "n"))
+                sk = _rows_of(flat.field("sk"))
+                for i in range(len(ids) - 1):
+                    for j in range(i + 1, len(ids), 50_000):
+                        o = slice(j, j + 50_000)
+                        ok = (comp[o] != comp[i]) & may_link(n[i], sk[i:i + 1], n[o], sk[o], similarity)
+                        if ok.any():
+                            other = ids[o][ok]
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(np.minimum(ids[i], other)), pa.array(np.maximum(ids[i], other))],
+                                names=["a", "b"])
+    return run
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -326,7 +368,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = partitions_for(spark, n_bytes)
     described = stage(describe(docs, "_id", "text", k), "op9-sets")
     classes = stage(described.filter("n_shingles > 0").groupBy("cls").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "op9-classes")
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sk").alias("sk")), "op9-classes")
 
     indexed = docs.select("text").mapInArrow(
         _index(k, similarity, parts), "part int, sigs array<long>, owners array<long>")
@@ -334,18 +376,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = stage(buckets, "op9-buckets").groupBy("bucket").agg(F.first("members").alias("members"))
 
     star = buckets.select(F.col("members")[0].alias("a"), F.explode("members").alias("b")).filter("a < b")
-    pairs = stage(_size_ok(star.distinct(), classes, similarity), "op9-pairs")
+    pairs = stage(_plausible(star.distinct(), classes, similarity), "op9-pairs")
     sets = stage(_sets_for(pairs, classes, docs, k), "op9-shingles")
     edges = stage(_verify(pairs, sets, similarity), "op9-edges")
     first = _components(edges)
 
     entries = buckets.filter(F.size("members") > 2).select("bucket", F.explode("members").alias("cls"))
-    entries = entries.join(first, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    split = entries.groupBy("bucket").agg(
-        F.collect_list(F.struct("cls", "comp")).alias("members"),
-        F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    rest = split.select("members").mapInArrow(_cross_pairs, "a long, b long").distinct()
-    rest = stage(_size_ok(rest.join(pairs, ["a", "b"], "left_anti"), classes, similarity), "op9-rest")
+    entries = (entries.join(first, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
+    mixed = entries.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    split = (entries.join(mixed.select("bucket"), "bucket").join(classes.select("cls", "n", "sk"), "cls")
+             .groupBy("bucket").agg(F.collect_list(F.struct("cls", "comp", "n", "sk")).alias("members")))
+    rest = split.select("members").mapInArrow(_cross_pairs(similarity), "a long, b long").distinct()
+    rest = stage(rest.join(pairs, ["a", "b"], "left_anti"), "op9-rest")
     if not rest.isEmpty():
         more_sets = stage(_sets_for(rest, classes, docs, k), "op9-more")
         edges = stage(edges.union(_verify(rest, more_sets, similarity)), "op9-edges")
@@ -354,7 +396,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linked = classes.join(first, "cls", "left").select("cls", "rep", F.coalesce("comp", "cls").alias("comp"))
     named = linked.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of_class = linked.join(named, "comp").select("cls", "component_id")
-    return described.join(of_class, "cls", "left").select(
+    return described.drop("sk").join(of_class, "cls", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

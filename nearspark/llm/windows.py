@@ -113,12 +113,15 @@ def may_hold(words: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (words[(slot >> _U(6)).astype(np.int64)] >> (slot & _U(63)).astype(np.int64)) & 1 == 1
 
 
-def _search(shared, classes: list[int], bands: int, rows: int, normalise, k: int):
+def _search(shared, classes: dict[int, int], bands: int, rows: int, normalise, k: int):
     def of_text(h: np.ndarray, hit: np.ndarray, key_filter: np.ndarray) -> np.ndarray:
         """Band keys, possibly held by an item, of the windows that hold a hit."""
         found = []
         at = np.flatnonzero(hit)
-        for c in classes:
+        distinct = len(np.unique(h[at]))
+        for c, least in classes.items():
+            if distinct < least:  # too few to hold the threshold's share of the class's smallest item
+                continue
             size = window_length(c)
             step = size // 2
             last = max(0, -(-(len(h) - size) // step))
@@ -177,8 +180,8 @@ def search(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_c
                   .mapInArrow(_item_rows(normalise, k), f"item {item_type}, n_item int, sh array<long>")
                   .filter("n_item > 0"), "items")
     keyed = stage(known.mapInArrow(_item_bands(bands, rows), f"key long, item {item_type}"), "item-bands")
-    classes = sorted({size_class(r[0]) for r in known.groupBy(
-        F.floor(F.log2("n_item")).alias("c")).agg(F.max("n_item").alias("n")).select("n").collect()})
+    smallest = known.groupBy(F.floor(F.log2("n_item")).alias("c")).agg(F.min("n_item").alias("n")).collect()
+    classes = {size_class(r["n"]): math.ceil(threshold * r["n"] - 1e-9) for r in smallest}
     shared = spark.sparkContext.broadcast(
         (presence(known.select(F.explode("sh").alias("x")), "x"), presence(keyed, "key")))
     found = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
