@@ -21,9 +21,11 @@ distinct 5-word shingles. The candidate search loses no such pair:
 
 Sets are handled by class: texts with equal sets share a 64-bit class hash, are
 sent once per batch of rows, and are never compared. In a signature's bucket the
-members are first verified against one of them only; pairs across different
-components of that result are then all verified, so a group of near copies costs
-rows in proportion to its size. Verification intersects the full shingle sets.
+members are first verified against one of them only, then, where a bucket still
+holds several components, against the member with most links; last, every pair
+across components is verified that sizes and sketches do not rule out. A group
+of near copies thus costs rows in proportion to its size, and no link is lost.
+Verification intersects the full shingle sets.
 
 Null and empty texts (or texts without a word) have an empty set, size 0, and
 link with nothing. Equal rows and repeated ids keep one output row each. Other
@@ -48,6 +50,7 @@ from nearspark.operators.graph import connected_components
 _U = np.uint64
 FILTER_BITS = 24  # 2 MiB as packed bits, whatever the corpus
 GROUPS = 128  # counters of a sketch
+HUB_ROUNDS = 2
 
 
 def largest_partner(s: int, similarity: int) -> int:
@@ -359,6 +362,20 @@ def _cross_pairs(similarity: int):
     return run
 
 
+def _pairs_with_hub(star: DataFrame) -> DataFrame:
+    """Distinct pairs ``a < b`` of each row's hub and member."""
+    return star.filter("hub != cls").select(
+        F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct()
+
+
+def _mixed_buckets(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """``(bucket, cls, comp)`` of the buckets whose members lie in several components."""
+    entries = (buckets.filter(F.size("members") > 2).select("bucket", F.explode("members").alias("cls"))
+               .join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
+    mixed = entries.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    return entries.join(mixed.select("bucket"), "bucket", "left_semi")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        similarity: int = 80, k: int = 5) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: links' components, named by their smallest id."""
@@ -375,25 +392,37 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = indexed.groupBy("part").applyInArrow(_buckets, "bucket long, members array<long>")
     buckets = stage(buckets, "op9-buckets").groupBy("bucket").agg(F.first("members").alias("members"))
 
-    star = buckets.select(F.col("members")[0].alias("a"), F.explode("members").alias("b")).filter("a < b")
-    pairs = stage(_plausible(star.distinct(), classes, similarity), "op9-pairs")
-    sets = stage(_sets_for(pairs, classes, docs, k), "op9-shingles")
-    edges = stage(_verify(pairs, sets, similarity), "op9-edges")
-    first = _components(edges)
-
-    entries = buckets.filter(F.size("members") > 2).select("bucket", F.explode("members").alias("cls"))
-    entries = (entries.join(first, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
-    mixed = entries.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    split = (entries.join(mixed.select("bucket"), "bucket").join(classes.select("cls", "n", "sk"), "cls")
+    # Round 0: each bucket's members against one of them, by one of four fixed orders.
+    hub = "array_min(transform(members, c -> named_struct('o', xxhash64(c, pmod(bucket, 4)), 'c', c))).c"
+    star = buckets.select(F.expr(hub).alias("hub"), F.explode("members").alias("cls"))
+    pairs = stage(_plausible(_pairs_with_hub(star), classes, similarity), "op9-pairs")
+    edges = stage(_verify(pairs, _sets_for(pairs, classes, docs, k), similarity), "op9-edges")
+    comps = _components(edges)
+    # Hub rounds: in buckets that still hold several components, against the member with most links.
+    for _ in range(HUB_ROUNDS):
+        links = edges.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
+        mixed = _mixed_buckets(buckets, comps).join(links, "cls", "left").fillna(0, ["links"])
+        hubs = mixed.groupBy("bucket").agg(F.max(F.struct("links", "cls", "comp")).alias("hub"))
+        star = (mixed.join(hubs, "bucket").filter(F.col("comp") != F.col("hub.comp"))
+                .select(F.col("hub.cls").alias("hub"), "cls"))
+        more = _pairs_with_hub(star).join(pairs, ["a", "b"], "left_anti")
+        more = stage(_plausible(more, classes, similarity), "op9-pairs")
+        new = stage(_verify(more, _sets_for(more, classes, docs, k), similarity), "op9-edges")
+        pairs = pairs.union(more)
+        if new.isEmpty():
+            break
+        edges = edges.union(new)
+        comps = _components(edges)
+    # What is left: every plausible pair of a bucket across components.
+    split = (_mixed_buckets(buckets, comps).join(classes.select("cls", "n", "sk"), "cls")
              .groupBy("bucket").agg(F.collect_list(F.struct("cls", "comp", "n", "sk")).alias("members")))
     rest = split.select("members").mapInArrow(_cross_pairs(similarity), "a long, b long").distinct()
     rest = stage(rest.join(pairs, ["a", "b"], "left_anti"), "op9-rest")
-    if not rest.isEmpty():
-        more_sets = stage(_sets_for(rest, classes, docs, k), "op9-more")
-        edges = stage(edges.union(_verify(rest, more_sets, similarity)), "op9-edges")
-        first = _components(edges)
+    new = stage(_verify(rest, _sets_for(rest, classes, docs, k), similarity), "op9-edges")
+    if not new.isEmpty():
+        comps = _components(edges.union(new))
 
-    linked = classes.join(first, "cls", "left").select("cls", "rep", F.coalesce("comp", "cls").alias("comp"))
+    linked = classes.join(comps, "cls", "left").select("cls", "rep", F.coalesce("comp", "cls").alias("comp"))
     named = linked.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of_class = linked.join(named, "comp").select("cls", "component_id")
     return described.drop("sk").join(of_class, "cls", "left").select(

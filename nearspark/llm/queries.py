@@ -2,15 +2,43 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nearspark.llm import decontam, jaccard, licenses
+from nearspark.llm import decontam, idcodec, jaccard, langid, licenses, packing, quality, toxicity
+
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op4_token_id_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = idcodec.write_ids(_table(spark, sf_dir, "documents"), WORD_TOKENIZER, end_id=1)
+    return idcodec.read_ids(chunks, digest_only=True)
+
+
+def op5_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_segmentation_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs, PIECES))
+
+
+def op8_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), WORD_TOKENIZER, capacity=2048, end_id=0)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"), licenses.templates_table(spark))
 
@@ -59,6 +87,11 @@ def _license_values() -> str:
 
 
 QUERIES = {
+    "op1_line_crf_quality": (op1_line_crf_quality, None),
+    "op4_token_id_codec": (op4_token_id_codec, None),
+    "op5_ordinal_toxicity": (op5_ordinal_toxicity, None),
+    "op6_segmentation_langid": (op6_segmentation_langid, None),
+    "op8_bin_slack_packing": (op8_bin_slack_packing, None),
     "op3_license_scan": (op3_license_scan, _containment_sql(
         _license_values(), "license", _ALNUM,
         "doc_id, license, n::INTEGER AS n_template, c::INTEGER AS n_shared, lo::INTEGER AS start_word, "
