@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nearspark.llm import decontam, idcodec, jaccard, langid, licenses, packing, quality, toxicity
+from nearspark.llm import (ann, decontam, idcodec, jaccard, langid, licenses, packing, quality, toxicity,
+                           warc_chunks)
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -20,6 +21,14 @@ def op1_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op2_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_chunks.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op7_shard_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search_table(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op4_token_id_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = idcodec.write_ids(_table(spark, sf_dir, "documents"), WORD_TOKENIZER, end_id=1)
     return idcodec.read_ids(chunks, digest_only=True)
@@ -88,9 +97,18 @@ def _license_values() -> str:
 
 QUERIES = {
     "op1_line_crf_quality": (op1_line_crf_quality, None),
+    "op2_chunked_warc": (op2_chunked_warc, """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS s FROM p),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY s, n) AS top FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes, s AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
+FROM r"""),
     "op4_token_id_codec": (op4_token_id_codec, None),
     "op5_ordinal_toxicity": (op5_ordinal_toxicity, None),
     "op6_segmentation_langid": (op6_segmentation_langid, None),
+    "op7_shard_hnsw": (op7_shard_hnsw, None),
     "op8_bin_slack_packing": (op8_bin_slack_packing, None),
     "op3_license_scan": (op3_license_scan, _containment_sql(
         _license_values(), "license", _ALNUM,
