@@ -50,7 +50,7 @@ from nearspark.operators.graph import connected_components
 _U = np.uint64
 FILTER_BITS = 24  # 2 MiB as packed bits, whatever the corpus
 GROUPS = 128  # counters of a sketch
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 
 
 def largest_partner(s: int, similarity: int) -> int:
@@ -297,10 +297,13 @@ def _pass_filter(docs: DataFrame, col: str, words: np.ndarray) -> DataFrame:
 def _shingle_arrays(k: int):
     def run(batches):
         for batch in batches:
+            want = batch.column("cls").to_numpy().view(np.uint64)
             for a, sets in _sets(batch.drop_columns(["cls"]), k):
+                # rows that repeat an id may hold another text
+                own = [i for i, x in enumerate(sets) if len(x) and class_hash(x) == want[a + i]]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("cls").slice(a, len(sets)),
-                     pa.array([T.signed(x) for x in sets], pa.list_(pa.int64()))], names=["cls", "sh"])
+                    [pa.array(T.signed(want[[a + i for i in own]])),
+                     pa.array([T.signed(sets[i]) for i in own], pa.list_(pa.int64()))], names=["cls", "sh"])
     return run
 
 
@@ -318,8 +321,8 @@ def _sets_for(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int) ->
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     wanted = stage(classes.join(wanted, "cls").select("cls", F.col("rep").alias("_id")), "op9-wanted")
     near = _pass_filter(docs, "_id", _packed_filter(wanted, "_id"))
-    texts = near.join(wanted, "_id").select("_id", "text", "cls").dropDuplicates(["cls"])
-    return texts.select("text", "cls").mapInArrow(_shingle_arrays(k), "cls long, sh array<long>")
+    texts = near.join(wanted, "_id").select("text", "cls")
+    return texts.mapInArrow(_shingle_arrays(k), "cls long, sh array<long>")
 
 
 def _rows_of(sketches: pa.Array) -> np.ndarray:
@@ -390,10 +393,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     indexed = docs.select("text").mapInArrow(
         _index(k, similarity, parts), "part int, sigs array<long>, owners array<long>")
     buckets = indexed.groupBy("part").applyInArrow(_buckets, "bucket long, members array<long>")
-    buckets = stage(buckets, "op9-buckets").groupBy("bucket").agg(F.first("members").alias("members"))
+    buckets = stage(buckets.groupBy("bucket").agg(F.first("members").alias("members")), "op9-buckets")
 
-    # Round 0: each bucket's members against one of them, by one of four fixed orders.
-    hub = "array_min(transform(members, c -> named_struct('o', xxhash64(c, pmod(bucket, 4)), 'c', c))).c"
+    # Round 0: each bucket's members against one of them, by one of two fixed orders.
+    hub = "array_min(transform(members, c -> named_struct('o', xxhash64(c, pmod(bucket, 2)), 'c', c))).c"
     star = buckets.select(F.expr(hub).alias("hub"), F.explode("members").alias("cls"))
     pairs = stage(_plausible(_pairs_with_hub(star), classes, similarity), "op9-pairs")
     edges = stage(_verify(pairs, _sets_for(pairs, classes, docs, k), similarity), "op9-edges")
