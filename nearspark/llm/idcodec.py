@@ -252,7 +252,7 @@ def _write(path: str, end_id: int, id_type: pa.DataType):
                  | pack_chunk(np.concatenate(held))], schema=fields)
 
         for batch in batches:
-            for a, ids, counts in token_slices(batch, path, end_id, 2 << 20):
+            for a, ids, counts in token_slices(batch, path, end_id, 8 << 20):
                 docs += batch.column(0).slice(a, len(counts)).to_pylist()
                 lengths += counts.tolist()
                 held.append(ids)

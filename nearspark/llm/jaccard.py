@@ -51,6 +51,7 @@ _U = np.uint64
 FILTER_BITS = 24  # 2 MiB as packed bits, whatever the corpus
 GROUPS = 128  # counters of a sketch
 HUB_ROUNDS = 1
+BROADCAST_ROWS = 200_000  # of two longs
 
 
 def largest_partner(s: int, similarity: int) -> int:
@@ -320,8 +321,11 @@ def _sets_for(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int) ->
     """Shingle arrays of the classes in ``pairs``, from one text of each."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     wanted = stage(classes.join(wanted, "cls").select("cls", F.col("rep").alias("_id")), "op9-wanted")
-    near = _pass_filter(docs, "_id", _packed_filter(wanted, "_id"))
-    texts = near.join(wanted, "_id").select("text", "cls")
+    if wanted.count() <= BROADCAST_ROWS:
+        texts = docs.join(F.broadcast(wanted), "_id")
+    else:  # a shuffled join, of the rows that may match
+        texts = _pass_filter(docs, "_id", _packed_filter(wanted, "_id")).join(wanted, "_id")
+    texts = texts.select("text", "cls")
     return texts.mapInArrow(_shingle_arrays(k), "cls long, sh array<long>")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from nearspark.llm.staging import stage
 from nearspark.llm.tokens import token_slices
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 
 
 def _cut(path: str, end_id: int, capacity: int, keep_ids: bool):
