@@ -155,11 +155,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     band = counted.select("_id", F.explode("bands").alias("band"))
     copies = band.join(band.groupBy("band").agg(F.min("_id").alias("first")), "band").filter("first < _id")
     counted = counted.join(copies.select("_id").distinct(), "_id", "left_anti")
-    # Only features of enough toxic texts can be chosen: the rest stays on the executors.
+    # Only features that can be chosen (see ``_select``) are gathered: the rest stays on the executors.
+    n = {bool(r[0]): r[1] for r in counted.groupBy("toxic").count().collect()}
+    n1, n0 = max(n.get(True, 0), 1), max(n.get(False, 0), 1)
     each = counted.select("_id", "toxic", F.explode(F.arrays_zip("feature", "n")).alias("x"))
     each = each.select("_id", "toxic", F.col("x.feature").alias("f"), F.col("x.n").alias("n"))
-    common = (each.groupBy("f").agg(F.sum(F.col("toxic").cast("int")).alias("a"))
-              .filter(F.col("a") >= LEAST_TEXTS).select("f"))
+    common = (each.groupBy("f").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b"))
+              .filter((F.col("a") >= LEAST_TEXTS) & (F.col("a") * n0 >= F.col("b") * 10 * n1)).select("f"))
     got = (each.join(common, "f").groupBy("_id").agg(F.collect_list("f").alias("f"), F.collect_list("n").alias("n"))
            .join(counted.select("_id", "toxic"), "_id", "right").orderBy("_id").toPandas())
     texts = [Counter(dict(zip(f, n))) if f is not None else Counter() for f, n in zip(got["f"], got["n"])]
