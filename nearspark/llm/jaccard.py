@@ -169,6 +169,7 @@ def _sets(batch: pa.RecordBatch, k: int):
     for a, n, data, off in T.text_slices(batch):
         h, first = T.shingles_of(data, off, k)
         yield a, [np.unique(h[first[i]:first[i + 1]]) for i in range(n)]
+    T.give_back_memory()
 
 
 def sketch(distinct: np.ndarray) -> bytes:

@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearspark.llm.sampling import bounded_ids, held_out
+from nearspark.llm.textops import give_back_memory
 
 MOST_TRAINING_DOCS = 2000
 LONGEST = 8
 RUN = 24
 SCALE = 16.0  # per byte, keeps forward sums in range
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 19
 _U = np.uint64
 _BLANK = set(b" \t\n\v\f\r")
 
@@ -219,6 +220,7 @@ def _score(shared):
                      pa.array(pred, pa.string()), pa.array(score)],
                     names=["doc_id", "held_out", "lang_pred", "score"])
                 a = b
+            give_back_memory()
     return run
 
 

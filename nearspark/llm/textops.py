@@ -9,6 +9,8 @@ whole word sequence as its only shingle. Words and shingles are identified by
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -125,3 +127,12 @@ def bits_to_filter(n_bits_log2: int, hashes: np.ndarray) -> np.ndarray:
     slots = np.zeros(1 << n_bits_log2, bool)
     slots[hashes >> _U(64 - n_bits_log2)] = True
     return slots
+
+
+def give_back_memory() -> None:
+    """Return freed memory to the system: Spark keeps a Python worker for its next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST_WORDS = 400_000  # cached per worker process
+from nearspark.llm.textops import give_back_memory
+
+MOST_WORDS = 250_000  # cached per worker process
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
 
@@ -117,3 +119,4 @@ def token_slices(batch: pa.RecordBatch, path: str, end_id: int, max_bytes: int,
         ends = np.cumsum(counts)
         yield a, np.insert(ids, ends, np.uint32(end_id)), counts + 1
         a = b
+    give_back_memory()

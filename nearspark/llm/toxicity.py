@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 
 from nearspark.llm.sampling import bounded_ids
 from nearspark.llm.staging import stage
-from nearspark.llm.textops import mix
+from nearspark.llm.textops import give_back_memory, mix
 
 MOST_TRAINING_DOCS = 6000
 GRADES = 3
 LEAST_TEXTS = 8  # toxic training texts that must hold a feature
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -212,6 +212,7 @@ def _score(shared):
                     [batch.column(0).slice(a, b - a), pa.array(exceed.sum(axis=1)), pa.array(exceed[:, 0]),
                      pa.array(grade)], names=["doc_id", "severity", "p_toxic", "grade"])
                 a = b
+            give_back_memory()
     return run
 
 
