@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearspark.llm import textops as T
-from nearspark.llm.staging import partitions_for, stage
+from nearspark.llm.staging import partitions_for, small_batches, stage
 from nearspark.operators.graph import connected_components
 
 _U = np.uint64
@@ -388,9 +388,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        similarity: int = 80, k: int = 5) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: links' components, named by their smallest id."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = partitions_for(spark, n_bytes)
+    parts = partitions_for(spark, n_bytes, 8 << 20)
     described = stage(describe(docs, "_id", "text", k), "op9-sets")
     classes = stage(described.filter("n_shingles > 0").groupBy("cls").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sk").alias("sk")), "op9-classes")

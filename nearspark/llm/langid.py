@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearspark.llm.sampling import bounded_ids, held_out
+from nearspark.llm.staging import small_batches
 from nearspark.llm.textops import give_back_memory
 
 MOST_TRAINING_DOCS = 2000
@@ -241,6 +242,7 @@ def fit(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col:
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)`` of every row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
     lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))

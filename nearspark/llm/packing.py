@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearspark.llm.staging import stage
+from nearspark.llm.staging import small_batches, stage
 from nearspark.llm.tokens import token_slices
 
 SLICE_BYTES = 8 << 20
@@ -56,6 +56,7 @@ def _cut(path: str, end_id: int, capacity: int, keep_ids: bool):
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048,
            id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32[, ids])``: each text's ids, cut at ``capacity``."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(

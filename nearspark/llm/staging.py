@@ -31,3 +31,14 @@ def drop_staged(*frames: DataFrame) -> None:
 def partitions_for(spark: SparkSession, n_bytes: int, per_partition: int = 16 << 20) -> int:
     """Shuffle width for ``n_bytes``: follows the data, never below the session's setting."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // per_partition))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python workers take long texts in batches of at most ``rows`` rows.
+
+    Bounds the Arrow buffers that the JVM and the worker hold for a batch; a
+    smaller setting of the session stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearspark.llm.sampling import bounded_ids
-from nearspark.llm.staging import stage
+from nearspark.llm.staging import small_batches, stage
 from nearspark.llm.textops import give_back_memory, mix
 
 MOST_TRAINING_DOCS = 6000
@@ -218,6 +218,7 @@ def _score(shared):
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, severity, p_toxic, grade)``: expected severity, P(severity > 0), most thresholds passed."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
