@@ -50,18 +50,20 @@ def group_self_pairs(df: DataFrame, group_cols: list[str], id_col: str,
 
     A group of n members is cut into ``s = ceil(n / tile_size)`` tiles by a hash
     of the id. Each member is sent to the s tile pairs it belongs to, and the
-    join key is ``(group, low tile, high tile)``. Every pair meets in exactly one
-    key, and each key holds at most two tiles, so the work of one hot group is
+    join key is ``(group, low tile, high tile)``. A pair counts in the one key of its
+    two tiles, and each key holds at most two tiles, so the work of one hot group is
     spread over ``s(s+1)/2`` tasks. Groups below ``tile_size`` are not copied.
     """
     payload = payload or []
     keyed = tile_keys(df, group_cols, id_col, payload, tile_size, min_size=2)
-    left = keyed.select(*group_cols, "_lo", "_hi", F.col(id_col).alias(out1),
+    left = keyed.select(*group_cols, "_lo", "_hi", F.col("_t").alias("_t1"), F.col(id_col).alias(out1),
                         *[F.col(p).alias(f"{p}_1") for p in payload])
-    right = keyed.select(*group_cols, "_lo", "_hi", F.col(id_col).alias(out2),
+    right = keyed.select(*group_cols, "_lo", "_hi", F.col("_t").alias("_t2"), F.col(id_col).alias(out2),
                          *[F.col(p).alias(f"{p}_2") for p in payload])
     joined = left.join(right, group_cols + ["_lo", "_hi"]).filter(F.col(out1) < F.col(out2))
-    return joined.drop("_lo", "_hi")
+    # Two members of one tile also meet in the keys of other tiles: only their own counts.
+    own = (F.least("_t1", "_t2") == F.col("_lo")) & (F.greatest("_t1", "_t2") == F.col("_hi"))
+    return joined.filter(own).drop("_lo", "_hi", "_t1", "_t2")
 
 
 def expand_groups(rep_pairs: DataFrame, members: DataFrame, rep_col: str, id_col: str,

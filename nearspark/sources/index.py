@@ -40,7 +40,10 @@ def filter_index(records: DataFrame, **kwargs) -> DataFrame:
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.parse_url(url, F.lit("HOST")))
+    """Lower-case host; null where the URL has none, a plain pattern where it is malformed."""
+    return F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")),
+                              F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1),
+                                       F.lit(""))))
 
 
 def domain_filter(records: DataFrame, domain: str, url_col: str = "url") -> DataFrame:
@@ -52,8 +55,8 @@ def domain_filter(records: DataFrame, domain: str, url_col: str = "url") -> Data
 
 def byte_ranges(records: DataFrame) -> DataFrame:
     """Add integer ``start``/``end`` (inclusive) and the HTTP ``range`` string."""
-    start = F.col("offset").cast("bigint")
-    end = start + F.col("length").cast("bigint") - 1
+    start = F.col("offset").try_cast("bigint")
+    end = start + F.col("length").try_cast("bigint") - 1
     return records.select(
         *records.columns, start.alias("start"), end.alias("end"),
         F.concat(F.lit("bytes="), start.cast("string"), F.lit("-"), end.cast("string")).alias("range"))

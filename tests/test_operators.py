@@ -254,3 +254,21 @@ def test_lsa_topics_and_explained_variance_match_numpy(spark, sf):
     want = np.var(m @ vt[:k].T, axis=0) / np.var(m, axis=0).sum()
     got = np.array([r["explained_variance_ratio"] for r in var.orderBy("component").collect()])
     assert np.allclose(got, want, rtol=2e-2, atol=1e-4)
+
+
+def test_tiled_pairs_come_once(spark):
+    from nearspark.operators import pairs as P
+    rows = spark.range(37).selectExpr("'g' AS g", "id")
+    got = P.group_self_pairs(rows, ["g"], "id", tile_size=5)
+    assert got.count() == 37 * 36 // 2 == got.distinct().count()
+
+
+def test_malformed_url_is_no_error(spark):
+    from nearspark.sources import index as I
+    rows = spark.createDataFrame([("https://a.example.org/x y|z",), ("not a url",), ("https://b.org/",), (None,)], "url string")
+    assert [r.url for r in I.domain_filter(rows, "example.org").collect()] == ["https://a.example.org/x y|z"]
+
+
+def test_deep_page_is_read():
+    from nearspark.functions.html import extract_fields
+    assert extract_fields("<p>" * 5000 + "deep<h1>top</h1>") == ("top ", "deep")
