@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from nearspark.session import shared_path
@@ -33,12 +35,19 @@ def partitions_for(spark: SparkSession, n_bytes: int, per_partition: int = 16 <<
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // per_partition))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Python workers take long texts in batches of at most ``rows`` rows.
+def small_batches(spark: SparkSession, rows: int = 1000, n_bytes: int = 4 << 20) -> None:
+    """Let Python workers take long texts in batches of at most ``rows`` rows and about ``n_bytes``.
 
     Bounds the Arrow buffers that the JVM and the worker hold for a batch; a
-    smaller setting of the session stays.
+    single longer text is a batch of its own, and smaller settings of the session stay.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
-        spark.conf.set(name, str(rows))
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", n_bytes)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < _number(spark.conf.get(name)) <= most:
+            spark.conf.set(name, str(most))
+
+
+def _number(setting: str) -> int:
+    """A row or byte setting as Spark shows it (``10000``, ``64MB``, ``4194304b``)."""
+    digits, unit = re.fullmatch(r"(-?\d+)\s*([a-zA-Z]*)", setting.strip()).groups()
+    return int(digits) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit[:1].lower()]
