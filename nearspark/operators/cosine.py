@@ -124,12 +124,10 @@ def verify_candidates(cands: DataFrame, vecs: DataFrame, id_col: str, threshold:
 
 def _block_cosine_fn(id_col: str, vec_col: str, threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id1": pd.Series([], dtype="int64"),
-                              "id2": pd.Series([], dtype="int64"),
-                              "value": pd.Series([], dtype="float64")})
+        ids = pdf[id_col].to_numpy()
+        empty = pd.DataFrame({"id1": ids[:0], "id2": ids[:0], "value": np.zeros(0)})
         if len(pdf) < 2:
             return empty
-        ids = pdf[id_col].to_numpy()
         mat = np.vstack(pdf[vec_col].to_numpy()).astype(np.float64)
         norms = np.linalg.norm(mat, axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -146,15 +144,17 @@ def _block_cosine_fn(id_col: str, vec_col: str, threshold: float):
             a, b, v = ids[lo][i], ids[hi][j], sims[i, j]
         if len(a) == 0:
             return empty
-        return pd.DataFrame({"id1": np.minimum(a, b), "id2": np.maximum(a, b), "value": v})
+        ordered = a < b
+        return pd.DataFrame({"id1": np.where(ordered, a, b), "id2": np.where(ordered, b, a), "value": v})
     return run
 
 
 def dense_cosine_pairs(vectors: DataFrame, id_col: str, vec_col: str, threshold: float,
                        tile_size: int = 2048) -> DataFrame:
-    """Exact all-pairs dense cosine >= t by tile-pair matrix products."""
+    """Exact all-pairs dense cosine >= t by tile-pair matrix products; ids of any type."""
+    id_type = vectors.schema[id_col].dataType.simpleString()
     keyed = P.tile_keys(vectors.select(id_col, vec_col).withColumn("_g", F.lit(0)),
                         ["_g"], id_col, [vec_col], tile_size)
     return (keyed.groupBy("_g", "_lo", "_hi")
             .applyInPandas(_block_cosine_fn(id_col, vec_col, threshold),
-                           "id1 long, id2 long, value double"))
+                           f"id1 {id_type}, id2 {id_type}, value double"))

@@ -43,20 +43,21 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.distinct()
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """``(id, component)``; component = smallest id in it; singletons included."""
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(id, component)``; component = smallest id in it; singletons included.
+
+    Rounds go on until nothing changes; every round ends in a checkpoint.
+    """
     e = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")) \
         .filter(F.col("src") != F.col("dst")).distinct()
     e = materialize(e)
-    for _ in range(max_rounds):
+    while True:
         nxt = materialize(_small_star(_large_star(e)))
         changed = nxt.join(e, ["src", "dst"], "left_anti").limit(1).count() + \
             e.join(nxt, ["src", "dst"], "left_anti").limit(1).count()
         e = nxt
         if changed == 0:
             break
-    else:
-        raise RuntimeError("connected components did not converge")
     star = e.select(F.col("src").alias("id"), F.col("dst").alias("component"))
     return (nodes.select("id").join(star, "id", "left")
             .select("id", F.coalesce("component", "id").alias("component")))

@@ -211,9 +211,9 @@ def tfidf_cosine_pairs(spark, sf_dir):
 @register("lsa_pairs", f"""WITH {O.doc_bag_cte()}, {O.tfidf_l2_cte()}, {O.cosine_pairs_cte(0.8, False)}
 SELECT id1, id2, round(value, 6) AS value FROM edges""")
 def lsa_pairs(spark, sf_dir):
-    """LSA with the default 5000 components: at full rank, LSA cosine = TF-IDF cosine."""
+    """LSA with all components: at full rank, LSA cosine = TF-IDF cosine."""
     bag, vecs = doc_vectors(spark, sf_dir)
-    return LS.lsa_pairs(bag, "doc_id", n_components=5000, cosine_threshold=0.8) \
+    return LS.lsa_pairs(bag, "doc_id", cosine_threshold=0.8, method="full_rank") \
         .select("id1", "id2", r6("value"))
 
 
@@ -285,7 +285,7 @@ def eval_simhash(spark, sf_dir):
 def eval_lsa(spark, sf_dir):
     bag = doc_bag(spark, sf_dir)
     comps = doc_labels(spark, sf_dir)
-    res = LS.lsa_pairs(bag, "doc_id", n_components=5000, cosine_threshold=0.8)
+    res = LS.lsa_pairs(bag, "doc_id", cosine_threshold=0.8, method="full_rank")
     return _eval_out(EV.evaluate(res, comps))
 
 
@@ -591,3 +591,31 @@ def lsa_variance(spark, sf_dir):
     _bag, vecs = doc_vectors(spark, sf_dir)
     _emb, _topics, var = LS.lsa_model(vecs, "doc_id", n_components=16)
     return var.select("component", r6("explained_variance_ratio"))
+
+
+@register("lsa_pairs_svd", f"""WITH {O.page_bag_cte(False)}, {O.tfidf_l2_cte()}, {O.cosine_pairs_cte(0.8, False)}
+SELECT id1, id2, round(value, 4) AS value FROM edges""")
+def lsa_pairs_svd(spark, sf_dir):
+    """LSA of pages by URL through the SVD at full rank, so its cosines are the TF-IDF cosines."""
+    n = read(spark, sf_dir, "pages").select("url").distinct().count()
+    return LS.lsa_pairs(page_bag(spark, sf_dir), "url", n_components=max(n, 1), cosine_threshold=0.8, n_iter=2) \
+        .select("id1", "id2", F.round("value", 4).alias("value"))
+
+
+# ------------------------------------------------- small tiles, same answers ---
+
+@register("minhash_pairs_tiled", QUERIES["minhash_pairs"][1])
+def minhash_pairs_tiled(spark, sf_dir):
+    pairs = MH.minhash_pairs(doc_bag(spark, sf_dir), "doc_id", tile_size=4)
+    return pairs.select("id1", "id2", r6("value"))
+
+
+@register("simhash_pairs_tiled", QUERIES["simhash_pairs"][1])
+def simhash_pairs_tiled(spark, sf_dir):
+    feats = SH.weighted_features(doc_bag(spark, sf_dir), "doc_id", "md5")
+    return SH.simhash_pairs(SH.fingerprints(feats, "doc_id", 64), "doc_id", 64, 3, tile_size=4)
+
+
+@register("pseudo_labels_tiled", QUERIES["pseudo_labels"][1])
+def pseudo_labels_tiled(spark, sf_dir):
+    return GR.pseudo_labels(doc_labels(spark, sf_dir), tile_size=4).select("id1", "id2")
