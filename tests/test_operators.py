@@ -272,3 +272,20 @@ def test_malformed_url_is_no_error(spark):
 def test_deep_page_is_read():
     from nearspark.functions.html import extract_fields
     assert extract_fields("<p>" * 5000 + "deep<h1>top</h1>") == ("top ", "deep")
+
+
+def test_lsa_svd_takes_string_ids_and_needs_a_known_method(spark):
+    rows = [("u/a", "red green blue cyan"), ("u/b", "red green blue cyan"), ("u/c", "one two three four"),
+            ("u/d", "red green blue mauve")]
+    d = spark.createDataFrame(rows, "url string, text string")
+    bag = TX.bag_of_words(d, "url", "text")
+    by_svd = {(r["id1"], r["id2"]): r["value"]
+              for r in LS.lsa_pairs(bag, "url", n_components=50, cosine_threshold=0.3, n_iter=1).collect()}
+    full = {(r["id1"], r["id2"]): r["value"]
+            for r in LS.lsa_pairs(bag, "url", cosine_threshold=0.3, method="full_rank").collect()}
+    assert by_svd.keys() == full.keys() == {("u/a", "u/b"), ("u/a", "u/d"), ("u/b", "u/d")}
+    assert all(abs(by_svd[k] - full[k]) < 1e-6 for k in full)
+    with pytest.raises(ValueError):
+        LS.lsa_pairs(bag, "url", method="sparse")
+    with pytest.raises(ValueError):
+        LS.lsa_pairs(bag, "url", cosine_threshold=0.0, method="full_rank")
