@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from nearspark.llm import (ann, decontam, idcodec, jaccard, langid, licenses, packing, quality, toxicity, tokens,
+from nearspark.llm import (ann, decontam, idcodec, jaccard, langid, licenses, packing, quality, staging, toxicity, tokens,
                            warc_chunks)
 from nearspark.llm.queries import PIECES, QUERIES, WORD_TOKENIZER
 
@@ -196,3 +196,20 @@ def test_warc_round_trip_with_chunks(spark):
 
 def test_every_operator_is_registered():
     assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda q: int(q[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_small_batches_keep_smaller_settings_and_lower_larger_ones(spark):
+    rows, size = (f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch"))
+    before = spark.conf.get(rows), spark.conf.get(size)
+    try:
+        spark.conf.set(rows, "10")
+        spark.conf.set(size, "64MB")
+        staging.small_batches(spark, rows=1000, n_bytes=4096)
+        assert int(spark.conf.get(rows)) == 10
+        texts = spark.range(0, 100, 1, 1).select(F.repeat(F.lit("x"), 3000).alias("text"))
+        sizes = texts.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long")
+        got = [r["n"] for r in sizes.collect()]
+        assert sum(got) == 100 and max(got) <= 2
+    finally:
+        spark.conf.set(rows, before[0])
+        spark.conf.set(size, before[1])
