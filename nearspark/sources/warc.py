@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import gzip
 import os
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -77,6 +78,45 @@ def write_warc(pages: DataFrame, out_dir: str, url_col: str = "url", html_col: s
         run, "url string, filename string, offset string, length string, rec_type string")
 
 
+def _unchunk(body: bytes) -> bytes:
+    """The bytes of a chunked HTTP body; ``ValueError`` where a chunk is cut short."""
+    out, at = [], 0
+    while True:
+        end = body.index(b"\r\n", at)
+        size = int(body[at:end].split(b";")[0], 16)
+        if size == 0:
+            return b"".join(out)
+        at = end + 2
+        if len(body) < at + size:
+            raise ValueError("chunk cut short")
+        out.append(body[at:at + size])
+        at += size + 2
+
+
+def _decode_body(http_head: bytes, body: bytes) -> bytes:
+    """Undo the body's transfer and content encodings; unknown ones raise ``ValueError``.
+
+    Crawls may store a body decoded under its original headers, so a body that does
+    not begin like its encoding is taken as it is.
+    """
+    fields = {}
+    for line in http_head.decode("latin-1").split("\r\n")[1:]:
+        k, _, v = line.partition(":")
+        fields[k.strip().lower()] = v.strip().lower()
+    first_line = body.partition(b"\r\n")[0].split(b";")[0].strip()
+    if "chunked" in fields.get("transfer-encoding", "") and first_line and not first_line.strip(b"0123456789abcdefABCDEF"):
+        body = _unchunk(body)
+    for coding in reversed([c.strip() for c in fields.get("content-encoding", "").split(",") if c.strip()]):
+        if coding in ("gzip", "x-gzip"):
+            body = gzip.decompress(body) if body[:2] == b"\x1f\x8b" else body
+        elif coding == "deflate":
+            zlib_head = len(body) > 1 and body[0] & 15 == 8 and int.from_bytes(body[:2], "big") % 31 == 0
+            body = zlib.decompress(body) if zlib_head else zlib.decompress(body, -zlib.MAX_WBITS)
+        elif coding != "identity":
+            raise ValueError(f"content encoding {coding!r}")
+    return body
+
+
 def _parse_record(raw: bytes):
     """``(rec_type, url, html)`` of one decompressed WARC record."""
     head, sep, rest = raw.partition(b"\r\n\r\n")
@@ -93,8 +133,8 @@ def _parse_record(raw: bytes):
     rec_type = fields.get("warc-type")
     if rec_type != "response":
         return rec_type, None, None
-    _http_head, _, body = block.partition(b"\r\n\r\n")
-    return rec_type, fields.get("warc-target-uri"), body.decode("utf-8", errors="ignore")
+    http_head, _, body = block.partition(b"\r\n\r\n")
+    return rec_type, fields.get("warc-target-uri"), _decode_body(http_head, body).decode("utf-8", errors="ignore")
 
 
 def fetch_records(plan: DataFrame) -> DataFrame:
@@ -115,7 +155,7 @@ def fetch_records(plan: DataFrame) -> DataFrame:
                     if rec_type == "response":
                         out.append((url, html, fn, int(start), None))
                 except Exception as e:  # noqa: BLE001 - counted, never fatal
-                    out.append((None, None, fn, int(start), f"{type(e).__name__}: {e}"[:200]))
+                    out.append((None, None, fn, int(start), f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["url", "html", "filename", "offset", "error"])
 
     return plan.select("filename", "start", "end").mapInPandas(run, OUT_SCHEMA)

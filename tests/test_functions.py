@@ -102,3 +102,29 @@ def test_local_path_strips_file_scheme():
     assert local_path("file:/tmp/x") == "/tmp/x"
     assert local_path("file:///tmp/x") == "/tmp/x"
     assert local_path("/tmp/x") == "/tmp/x"
+
+
+def test_warc_bodies_are_decoded():
+    import gzip
+    import zlib
+
+    from nearspark.sources.warc import _parse_record
+
+    def record(head, body):
+        block = b"HTTP/1.1 200 OK\r\n" + head + b"\r\n\r\n" + body
+        return (b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: u\r\nContent-Length: "
+                + str(len(block)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    page = "<p>caf\u00e9</p>".encode()
+    packed = gzip.compress(page)
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(c), c) for c in (packed[:7], packed[7:])) + b"0\r\n\r\n"
+    raw = zlib.compressobj(wbits=-15)
+    for head, body in ((b"Content-Type: text/html", page), (b"Content-Encoding: gzip", packed),
+                       (b"Content-Encoding: gzip", page), (b"Content-Encoding: deflate", zlib.compress(page)),
+                       (b"Content-Encoding: deflate", raw.compress(page) + raw.flush()),
+                       (b"Transfer-Encoding: chunked\r\nContent-Encoding: gzip", chunked),
+                       (b"Transfer-Encoding: chunked", page)):
+        assert _parse_record(record(head, body)) == ("response", "u", page.decode())
+    for head, body in ((b"Content-Encoding: br", b"??"), (b"Transfer-Encoding: chunked", b"ff\r\nshort")):
+        with pytest.raises(ValueError):
+            _parse_record(record(head, body))
