@@ -8,8 +8,11 @@ close a WARC record; its reader, parting at ``CRLF CRLF WARC/1.1 CRLF``, gets th
 back on any store, split over tasks. A payload that holds that mark itself is cut
 inside the mark.
 
-Reading carries incremental SHA-1 digests over the ordered chunks of a record: a
-task keeps one digest state, whatever the record's length.
+Every row's record has an id of its own (``urn:page:``, the page id, a UUID), which
+its continuations carry as Segment-Origin-ID. Reading carries incremental SHA-1
+digests over the ordered chunks of a record: a task keeps one digest state, whatever
+the record's length. A record that lacks a segment or is not as long as its header
+says fails the read.
 
 Of payloads that are equal and at least ``least_bytes`` long, the row with the
 largest id is written as ``response``, the others as ``revisit`` of it, without a
@@ -75,21 +78,21 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str
     rows = rows.join(F.broadcast(again) if few else again, "page_id", "left")
     empty = F.array(F.encode(F.lit(""), "UTF-8"))
     rows = rows.select(
-        "page_id", "uri", "refers_to", F.octet_length("payload").alias("n"), F.sha1("payload").alias("sha1"),
+        "page_id", "uri", "refers_to", F.uuid().alias("uuid"), F.octet_length("payload").alias("n"), F.sha1("payload").alias("sha1"),
         F.when(F.col("refers_to").isNull(), _chunks(F.col("payload"), chunk_bytes)).otherwise(empty).alias("chunks"))
     rows = rows.select("*", F.size("chunks").alias("n_chunks"), F.posexplode("chunks").alias("i", "chunk")).drop("chunks")
-    own = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    own = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), F.col("uuid"))
     several, first, last = F.col("n_chunks") > 1, F.col("i") == 0, F.col("i") == F.col("n_chunks") - 1
     kind = F.when(F.col("refers_to").isNotNull(), "revisit").when(first, "response").otherwise("continuation")
     record = F.concat(
         F.lit("WARC/1.1\r\n"), _line("WARC-Type", kind),
-        _line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), own, F.when(first, "").otherwise(F.concat(F.lit("/"), F.col("i"))), F.lit(">"))),
+        _line("WARC-Record-ID", F.concat(own, F.when(first, "").otherwise(F.concat(F.lit("/"), F.col("i"))), F.lit(">"))),
         _line("WARC-Date", F.lit(date)), _line("WARC-Target-URI", F.col("uri")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))), _line("WARC-Payload-Length", F.col("n")),
         _line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to"), F.lit(">"))),
         _line("WARC-Profile", F.when(F.col("refers_to").isNotNull(), F.lit(_PROFILE))),
         _line("WARC-Segment-Number", F.when(several, F.col("i") + 1)),
-        _line("WARC-Segment-Origin-ID", F.when(several & ~first, F.concat(F.lit("<urn:page:"), own, F.lit(">")))),
+        _line("WARC-Segment-Origin-ID", F.when(several & ~first, F.concat(own, F.lit(">")))),
         _line("WARC-Segment-Total-Length", F.when(several & last, F.col("n"))),
         _line("Content-Type", F.lit("text/html")), _line("Content-Length", F.octet_length("chunk")), F.lit("\r\n"),
         F.col("chunk").cast("string"))
@@ -98,9 +101,9 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """``(page_id, chunk_no, record_type, refers_to, payload_bytes, payload_digest, n_chunks_known, chunk)``.
+    """``(page_id, record, chunk_no, segmented, record_type, refers_to, payload_bytes, payload_digest, chunk)``.
 
-    One row per WARC record. ``payload_bytes`` and ``payload_digest`` are what its
+    One row per WARC record; ``record`` is the id that all segments of a record share. ``payload_bytes`` and ``payload_digest`` are what its
     header says; a block that is not as long as its header says fails the read.
     """
     text = spark.read.option("lineSep", _MARK).text(path)
@@ -114,6 +117,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     chunk = F.substring(F.col("value").cast("binary"), F.octet_length("head") + 5, size)
     rows = rows.select(
         F.regexp_extract("head", r"(?m)^WARC-Record-ID: <urn:page:(-?\d*)", 1).try_cast("long").alias("page_id"),
+        F.coalesce(header("WARC-Segment-Origin-ID"), header("WARC-Record-ID")).alias("record"),
         (F.coalesce(header("WARC-Segment-Number").cast("int"), F.lit(1)) - 1).alias("chunk_no"),
         header("WARC-Segment-Number").isNotNull().alias("segmented"),
         header("WARC-Type").alias("record_type"),
@@ -128,37 +132,45 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def _running(batches):
     """Bytes and SHA-1 up to and with each chunk; chunks of a record come in order."""
-    page, digest, n = None, None, 0
+    record, digest, n, least, number = None, None, 0, 0, 0
+
+    def whole():
+        if n != least:
+            raise ValueError(f"record {record}: {n} bytes after its last chunk, not {least}")
+
     for batch in batches:
-        pages, numbers = batch.column("page_id").to_pylist(), batch.column("chunk_no").to_pylist()
+        columns = [batch.column(c).to_pylist() for c in ("record", "chunk_no", "payload_bytes")]
         sums, hexes = [], []
-        for i, (p, c) in enumerate(zip(pages, numbers)):
-            if c == 0:
-                page, digest, n = p, hashlib.sha1(), 0
-            elif digest is None or p != page:
-                raise ValueError(f"page {p}: chunk {c} has no chunk before it")
+        for i, (r, c, m) in enumerate(zip(*columns)):
+            if r != record:
+                whole()
+                record, digest, n, least, number = r, hashlib.sha1(), 0, m, 0
+            if c != number:
+                raise ValueError(f"record {r}: chunk {c} where chunk {number} should be")
             raw = batch.column("chunk")[i].as_buffer()
             digest.update(raw)
-            n += raw.size
+            n, number = n + raw.size, number + 1
             sums.append(n)
             hexes.append(digest.hexdigest())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("chunk_no"), batch.column("payload_bytes"),
+            [batch.column("page_id"), batch.column("record"), batch.column("chunk_no"), batch.column("payload_bytes"),
              pa.array(sums, pa.int64()), pa.array(hexes, pa.string())],
-            names=["page_id", "chunk_no", "payload_bytes", "bytes_so_far", "sha1_so_far"])
+            names=["page_id", "record", "chunk_no", "payload_bytes", "bytes_so_far", "sha1_so_far"])
+    whole()
 
 
 def chunk_digests(chunks: DataFrame) -> DataFrame:
-    """``(page_id, chunk_no, payload_bytes, bytes_so_far, sha1_so_far)`` of segmented records."""
-    rows = chunks.filter("segmented").select("page_id", "chunk_no", "payload_bytes", "chunk")
-    return (rows.repartition("page_id").sortWithinPartitions("page_id", "payload_bytes", "chunk_no")
-            .mapInArrow(_running, "page_id long, chunk_no int, payload_bytes long, bytes_so_far long, sha1_so_far string"))
+    """``(page_id, record, chunk_no, payload_bytes, bytes_so_far, sha1_so_far)`` of segmented records."""
+    rows = chunks.filter("segmented").select("page_id", "record", "chunk_no", "payload_bytes", "chunk")
+    return (rows.repartition("record").sortWithinPartitions("record", "chunk_no")
+            .mapInArrow(_running, "page_id long, record string, chunk_no int, payload_bytes long, bytes_so_far long, "
+                                  "sha1_so_far string"))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` measured on what was read.
 
-    A revisit has no block: its length and digest are those its header carries.
+    One row per record written. A revisit has no block: its length and digest are those its header carries.
     """
     chunks = read_chunks(spark, path)
     short = chunks.filter("NOT segmented").select(
@@ -167,7 +179,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
             F.octet_length("chunk").cast("long")).alias("payload_bytes"),
         F.when(F.col("record_type") == "revisit", F.col("payload_digest")).otherwise(
             F.sha1("chunk")).alias("payload_digest"), "record_type", "refers_to")
-    last = chunk_digests(chunks).filter("bytes_so_far = payload_bytes").groupBy("page_id", "payload_bytes").agg(
+    last = chunk_digests(chunks).filter("bytes_so_far = payload_bytes").groupBy("record", "page_id", "payload_bytes").agg(
         F.max_by("sha1_so_far", "chunk_no").alias("payload_digest"))
     long = last.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"),
                        F.lit(None).cast("long").alias("refers_to"))

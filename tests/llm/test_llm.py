@@ -194,6 +194,22 @@ def test_warc_round_trip_with_chunks(spark):
     assert {got[i].record_type for i in (1, 2, 4, 5, 6, 7)} == {"response"}
 
 
+def test_warc_repeated_rows_and_null_ids_of_several_chunks(spark, tmp_path):
+    import hashlib
+    rows = [(1, "a" * 3500), (1, "a" * 3500), (2, "b" * 2000), (2, "b" * 2000), (3, "c" * 900), (3, "c" * 900),
+            (None, "d" * 3500), (None, "e" * 3500), (None, "f" * 3500)]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    path = str(tmp_path / "warc")
+    warc_chunks.write(pages, path, chunk_bytes=1000)
+    got = [(r.page_id, r.payload_bytes, r.payload_digest) for r in warc_chunks.read_pages(spark, path).collect()]
+    want = [(i, len(h), hashlib.sha1(h.encode()).hexdigest()) for i, h in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    chunks = warc_chunks.read_chunks(spark, path)
+    for lost in (0, 1, 3):  # a record without one of its segments fails
+        with pytest.raises(Exception, match="record <urn:page:1:"):
+            warc_chunks.chunk_digests(chunks.filter(f"page_id = 1 AND chunk_no != {lost}")).collect()
+
+
 def test_every_operator_is_registered():
     assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda q: int(q[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
 
