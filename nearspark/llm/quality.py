@@ -10,7 +10,8 @@ Labels mark texts, not lines. The fit (a bounded sample of ``MOST_TRAINING_DOCS`
 labelled documents) first gives each line its text's label, then once more labels
 the lines of bad texts by the first fit (at least the worst line stays bad).
 
-Null and empty texts (no line with a word) score 0. Repeated rows are scored
+Null and empty texts (no line with a word) score 0, and so do texts of nothing but
+control bytes: these are in no byte class, and a line of them alone has length 0. Repeated rows are scored
 alike; other columns are ignored. Without learnable labels of both kinds every
 text with a line scores 1.
 """
@@ -61,13 +62,14 @@ def line_features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
         total = np.concatenate([[0], np.cumsum(cls == k)])
         count[k] = (total[b] - total[a]).astype(float)
     marks = sum(count.values())
+    shown = np.maximum(marks, 1)  # a line of control bytes has none
     h = T.word_hashes(data, s, e)
     again = np.zeros(len(h))
     again[1:] = (h[1:] == h[:-1]) & (word_line[1:] == word_line[:-1])
     repeated = np.bincount(word_line, again, minlength=len(edge))[lines]
     letters = np.maximum(count[1] + count[2], 1)
     own = np.column_stack([
-        count[2] / letters, count[3] / marks, count[4] / marks, count[5] / marks, count[6] / marks, count[7] / marks,
+        count[2] / letters, count[3] / shown, count[4] / shown, count[5] / shown, count[6] / shown, count[7] / shown,
         repeated / np.maximum(words - 1, 1), np.log1p(marks) / 8, np.minimum(marks / words, 20) / 10,
         words < 4, np.isin(data[np.maximum(e[np.searchsorted(word_line, lines, side="right") - 1] - 1, 0)],
                            np.frombuffer(b".!?", np.uint8))]).astype(float)
@@ -190,10 +192,9 @@ def _score(shared):
             for a, n, data, off in T.text_slices(batch):
                 x, length, first = line_features(data, off)
                 p, _, _ = forward_backward(x @ model.weights, model.transition, first)
-                good = np.concatenate([[0.0], np.cumsum((1 - p) * length)])
-                total = np.concatenate([[0.0], np.cumsum(length)])
-                size = total[first[1:]] - total[first[:-1]]
-                score = (good[first[1:]] - good[first[:-1]]) / np.maximum(size, 1)
+                doc = np.repeat(np.arange(n), np.diff(first))
+                size = np.bincount(doc, length, minlength=n)
+                score = np.bincount(doc, (1 - p) * length, minlength=n) / np.maximum(size, 1)
                 score = np.clip(np.where(size > 0, score, 0.0), 0.0, 1.0)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, n), batch.column("held_out").slice(a, n), pa.array(score),

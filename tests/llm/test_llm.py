@@ -166,6 +166,21 @@ def test_quality_and_toxicity_held_out(spark, odd, none):
     assert toxicity.score(odd, ordinal).count() == len(ODD) and toxicity.score(none, ordinal).count() == 0
 
 
+def test_quality_of_lines_of_control_bytes(spark):
+    clean, odd = "A clean line of plain words.\nAnd one more of them.", "A clean line.\n\x01\x02 \x7f\nAnd one more."
+    texts = [clean, odd, clean, "\x01\x02", clean, "", clean]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    assert np.isfinite(model.weights).all() and np.isfinite(model.transition).all()
+    rng = np.random.default_rng(0)
+    model = quality.Model(rng.normal(size=quality.N_FEATURES), rng.normal(size=(2, 2)))
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    alone = {i: quality.score(docs.filter(F.col("doc_id") == i), model).first().score for i in (0, 1)}
+    assert 0 < alone[1] < 1 and got[1] == pytest.approx(alone[1]) and got[3] == got[5] == 0
+    assert 0 < alone[0] < 1 and [got[i] for i in (0, 2, 4, 6)] == pytest.approx([alone[0]] * 4)
+
+
 def test_graph_search_recall(spark, sf):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     bad = spark.createDataFrame([(-1, None), (-20, [0.0] * 64), (-40, [float("nan")] * 64)], "vec_id long, embedding array<float>")
