@@ -5,6 +5,10 @@ byte is a space, A-Z are folded), as license matching guidelines advise. Bands
 are set so that a window holding ``threshold`` of a template collides with
 probability ``recall`` at least (``windows.band_settings``). Null and empty
 texts match nothing; other columns are ignored.
+
+Templates of two versions of a license share most shingles, so a notice of one is
+also a match of the other. ``best=True`` leaves those matches out; the default
+gives every containment.
 """
 
 from __future__ import annotations
@@ -52,9 +56,10 @@ def templates_table(spark: SparkSession, templates: dict[str, str] | None = None
 
 
 def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         threshold: float = 0.8, recall: float = 0.9999, max_hashes: int = 128) -> DataFrame:
-    """``(doc_id, license, n_template, n_shared, start_word, end_word)`` of every match."""
+         threshold: float = 0.8, recall: float = 0.9999, max_hashes: int = 128,
+         best: bool = False) -> DataFrame:
+    """``(doc_id, license, n_template, n_shared, start_word, end_word)`` of every match, or the ``best`` ones."""
     found = search(docs, templates, id_col, text_col, "license", "text", threshold, recall, max_hashes,
-                   normalise=letters_and_digits)
+                   normalise=letters_and_digits, best=best)
     return found.select("doc_id", F.col("item").alias("license"), F.col("n_item").alias("n_template"),
                         "n_shared", "start_word", "end_word")

@@ -163,11 +163,32 @@ def as_is(data: np.ndarray) -> np.ndarray:
     return data
 
 
+def _best(matches: DataFrame, threshold: float) -> DataFrame:
+    """Of a text's matches those that stand on shingles of their own.
+
+    A match goes if an item contained to a larger share is in the same text and the
+    text holds less than ``threshold`` of the shingles that set the match's item
+    apart from that one. Items that are whole parts of others stay, and so do items
+    contained to the same share. A text has at most a match per item.
+    """
+    def explained(x, y):
+        better = y["n_shared"] * x["n_item"] > x["n_shared"] * y["n_item"]
+        apart, held = F.array_except(x["sh"], y["sh"]), F.array_except(x["at"]["hits"], y["sh"])
+        return better & (F.size(held) < F.lit(threshold) * F.size(apart))
+
+    rows = matches.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(
+        F.struct("item", "n_item", "n_shared", "sh", "at")).alias("all"))
+    kept = F.filter("all", lambda x: ~F.exists("all", lambda y: explained(x, y)))
+    return rows.select("doc_id", F.inline(kept))
+
+
 def search(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str,
            item_text_col: str, threshold: float, recall: float, max_hashes: int, k: int = 5,
-           normalise=as_is) -> DataFrame:
+           normalise=as_is, best: bool = False) -> DataFrame:
     """``(doc_id, item, n_item, n_shared, start_word, end_word)`` of verified matches.
 
+    ``best``: without the matches that a better one explains (``_best``).
+
     ``n_shared`` of the item's ``n_item`` distinct shingles occur in the text;
     the words from ``start_word`` to ``end_word`` (exclusive) span their first
     occurrences. Items without a word match nothing.
@@ -194,6 +215,8 @@ def search(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_c
     out = (pairs.join(known, "item").join(found.drop("keys"), "row")
            .withColumn("at", shared_at).withColumn("n_shared", F.size("at"))
            .filter(F.col("n_shared") >= F.lit(threshold) * F.col("n_item")))
+    if best:
+        out = _best(out, threshold)
     return out.select(
         "doc_id", "item", "n_item", "n_shared", F.array_min("at.places").alias("start_word"),
         (F.array_max("at.places") + k).alias("end_word")).dropDuplicates()

@@ -79,6 +79,18 @@ def test_containment_odd_rows(spark, odd, none):
     assert licenses.scan(odd, licenses.templates_table(spark)).count() == 0
 
 
+def test_best_license_match_tells_versions_apart(spark):
+    two, three = licenses.TEMPLATES["GPL-2.0"], licenses.TEMPLATES["GPL-3.0"]
+    texts = {1: f"intro {three} end", 2: two, 3: f"{two} then {three}", 4: licenses.TEMPLATES["Apache-2.0 header"],
+             5: f"{three} {licenses.TEMPLATES['MIT']}", None: three, 6: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {}
+    for r in licenses.scan(docs, licenses.templates_table(spark), best=True).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert got == {1: {"GPL-3.0"}, 2: {"GPL-2.0"}, 3: {"GPL-2.0", "GPL-3.0"}, 4: {"Apache-2.0", "Apache-2.0 header"},
+                   5: {"GPL-3.0", "MIT"}, None: {"GPL-3.0"}}
+
+
 def test_words_give_the_tokenizer_s_ids():
     tok = tokens.tokenizer_at(WORD_TOKENIZER)
     for text in ("it's 3.5 and a,b. x.,", "<|startoftext|> hi", "", "\x1c a\u0301 \u03a3\u03b1\u03c2'll DON'T!!! don't,"):
