@@ -596,12 +596,19 @@ def lsa_variance(spark, sf_dir):
 @register("lsa_pairs_svd", f"""WITH {O.page_bag_cte(False)}, {O.tfidf_l2_cte()}, {O.cosine_pairs_cte(0.8, False)}
 SELECT id1, id2, round(value, 4) AS value FROM edges""")
 def lsa_pairs_svd(spark, sf_dir):
-    """LSA of pages by URL through the SVD at full rank, so its cosines are the TF-IDF cosines."""
-    n = read(spark, sf_dir, "pages").select("url").distinct().count()
-    return LS.lsa_pairs(page_bag(spark, sf_dir), "url", n_components=max(n, 1), cosine_threshold=0.8, n_iter=2) \
+    """LSA of pages by URL at full rank, where its cosines are the TF-IDF cosines: the sparse join, since
+    an SVD of that rank would be as wide as the table is long."""
+    return LS.lsa_pairs(page_bag(spark, sf_dir), "url", cosine_threshold=0.8, method="full_rank") \
         .select("id1", "id2", F.round("value", 4).alias("value"))
 
 
+@register("lsa_pairs_pages_k64", None)
+def lsa_pairs_pages_k64(spark, sf_dir):
+    """Truncated LSA of pages by URL (64 components, randomized SVD on Spark), cosine >= 0.8."""
+    return LS.lsa_pairs(page_bag(spark, sf_dir), "url", n_components=64, cosine_threshold=0.8) \
+        .select("id1", "id2", r6("value"))
+
+
 # ------------------------------------------------- small tiles, same answers ---
 
 @register("minhash_pairs_tiled", QUERIES["minhash_pairs"][1])

@@ -289,3 +289,21 @@ def test_lsa_svd_takes_string_ids_and_needs_a_known_method(spark):
         LS.lsa_pairs(bag, "url", method="sparse")
     with pytest.raises(ValueError):
         LS.lsa_pairs(bag, "url", cosine_threshold=0.0, method="full_rank")
+
+
+def test_lsa_queries_gather_no_matrix_as_wide_as_the_table(spark, sf, monkeypatch):
+    from nearspark.plans import queries as Q
+    widths, gram = [], LS._gram
+    monkeypatch.setattr(LS, "_gram", lambda df, col, width: widths.append(width) or gram(df, col, width))
+    got = {(r["id1"], r["id2"]): r["value"] for r in Q.QUERIES["lsa_pairs_svd"][0](spark, sf).collect()}
+    assert widths == []  # full rank over a whole table: the sparse join
+    rows = WT.tfidf_l2(Q.page_bag(spark, sf), "url").select("url", "term", "w").collect()
+    urls, terms = sorted({r["url"] for r in rows}), {t: i for i, t in enumerate({r["term"] for r in rows})}
+    at, a = {u: i for i, u in enumerate(urls)}, np.zeros((len({r["url"] for r in rows}), len(terms)))
+    for r in rows:
+        a[at[r["url"]], terms[r["term"]]] = r["w"]
+    cos = a @ a.T
+    want = {(u, v): cos[at[u], at[v]] for u in urls for v in urls if u < v and cos[at[u], at[v]] >= 0.8}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+    few = Q.QUERIES["lsa_pairs_pages_k64"][0](spark, sf)
+    assert few.columns == ["id1", "id2", "value"] and max(widths) <= 64 + 10
