@@ -5,7 +5,8 @@ likelihood is the sum, over all ways to cut its words into pieces, of the produc
 of the pieces' probabilities. The forward algorithm sums them word by word, each
 distinct word of a slice once. Piece probabilities are learned by
 expectation-maximisation over the same lattice from a bounded sample
-(``MOST_TRAINING_DOCS`` documents).
+(``MOST_TRAINING_DOCS`` documents, shared fairly by the languages; at least
+``LEAST_PER_LANGUAGE`` of each, or all it has).
 
 Words are white-space separated, lower-cased and led by a space mark; a piece is
 a vocabulary entry of at most eight bytes, and every single byte is a piece, so
@@ -27,10 +28,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearspark.llm.sampling import bounded_ids, held_out
+from nearspark.llm.sampling import bounded_ids_by, held_out
 from nearspark.llm.textops import give_back_memory
 
 MOST_TRAINING_DOCS = 2000
+LEAST_PER_LANGUAGE = 50
 LONGEST = 8
 RUN = 24
 SCALE = 16.0  # per byte, keeps forward sums in range
@@ -226,12 +228,15 @@ def _score(shared):
 
 def fit(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text",
         lang_col: str = "lang", most_docs: int = MOST_TRAINING_DOCS) -> Model:
-    """Learn from at most ``most_docs`` rows that name a language and are not held out."""
+    """Learn every language from rows that name it and are not held out, ``most_docs`` in all.
+
+    Where languages are so many that ``LEAST_PER_LANGUAGE`` of each are more, these are taken.
+    """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = rows.filter("lang IS NOT NULL")
-    ids = bounded_ids(known.select("_id"), "_id", most_docs)
+    ids = bounded_ids_by(known, "_id", "lang", most_docs, LEAST_PER_LANGUAGE)
     words = F.explode(F.split(F.regexp_replace(F.lower("text"), r"^[ \t-\r]+|[ \t-\r]+$", ""), r"[ \t-\r]+"))
-    got = (known.join(F.broadcast(ids), "_id").dropDuplicates(["_id"]).select("lang", words.alias("w"))
+    got = (known.join(F.broadcast(ids), ["_id", "lang"]).dropDuplicates(["_id", "lang"]).select("lang", words.alias("w"))
            .filter("w != ''").groupBy("lang", "w").count().toPandas())
     counts: dict[str, dict[str, int]] = {}
     for lang, w, n in zip(got["lang"], got["w"], got["count"]):

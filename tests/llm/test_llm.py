@@ -162,6 +162,21 @@ def test_language_held_out_accuracy(spark, odd, none):
     assert langid.identify(none, langid.fit(none, PIECES)).count() == 0
 
 
+def test_a_rare_language_is_learned(spark):
+    from nearspark.llm.sampling import bounded_ids_by, fair_share
+    rows = [(i, f"the house of number {i} is near the river", "en") for i in range(3000)]
+    rows += [(10_000 + i, f"šis nams ir pie upes un meža {i}", "lv") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, PIECES, most_docs=100)
+    assert model.langs == ["en", "lv"]
+    found = {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()}
+    assert {found[10_000 + i] for i in range(4)} == {"lv"} and {found[i] for i in range(3000)} == {"en"}
+    got = bounded_ids_by(docs, "doc_id", "lang", 100, 2).collect()
+    lv = [r for r in got if r.lang == "lv"]
+    assert 0 < len(lv) <= 4 and len(got) == 100 and len(set(got)) == 100
+    assert [fair_share(x, 10, 2) for x in ([], [3], [20, 1], [9, 9, 9, 9, 9, 9])] == [2, 3, 9, 2]
+
+
 def test_quality_and_toxicity_held_out(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
