@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nearspark.llm import (ann, decontam, idcodec, jaccard, langid, licenses, packing, quality, toxicity,
+from nearspark.llm import (ann, decontam, idcodec, jaccard, langid, licenses, packing, quality, repair, toxicity,
                            warc_chunks)
+from nearspark.llm.repair_sql import REPAIR_SQL
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -60,6 +61,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(_table(spark, sf_dir, "conversations"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -118,4 +123,5 @@ FROM r"""),
     "op10_decontamination": (op10_decontamination, _containment_sql(
         "items AS (SELECT item_id, text FROM benchmark),", "item_id", _WORDS,
         "doc_id, item_id, n::INTEGER AS n_item, c::INTEGER AS n_shared")),
+    "op13_conversation_repair": (op13_conversation_repair, REPAIR_SQL),
 }
