@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nearspark.llm import (ann, decontam, idcodec, jaccard, langid, licenses, packing, quality, repair, toxicity,
-                           warc_chunks)
+from nearspark.llm import (ann, decontam, divergence, idcodec, jaccard, langid, licenses, packing, quality,
+                           repair, toxicity, warc_chunks)
 from nearspark.llm.repair_sql import REPAIR_SQL
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -61,6 +61,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_report(_table(spark, sf_dir, "conversations"))
 
@@ -79,6 +83,7 @@ def _shingle_sql(name: str, source: str, key: str, clean: str) -> str:
 
 
 _WORDS = f"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+')"
+_TERM = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _ALNUM = f"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 
@@ -123,5 +128,34 @@ FROM r"""),
     "op10_decontamination": (op10_decontamination, _containment_sql(
         "items AS (SELECT item_id, text FROM benchmark),", "item_id", _WORDS,
         "doc_id, item_id, n::INTEGER AS n_item, c::INTEGER AS n_shared")),
+    "op12_source_divergence": (op12_source_divergence, f"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}') AS terms
+  FROM documents),
+t AS (SELECT id, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+size AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM d),
+cnt AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+grpn AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM grp LEFT JOIN cnt USING (lang, source) GROUP BY ALL),
+g AS (
+  SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c,
+         1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)) // (g.n + v)::HUGEINT AS p,
+         1 + (1000000000::HUGEINT * (total + 1)) // (size.n + v)::HUGEINT AS q
+  FROM grpn g JOIN size USING (lang) JOIN kept k USING (lang)
+  LEFT JOIN cnt ON cnt.lang = g.lang AND cnt.source = g.source AND cnt.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+result AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM g WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value,
+       (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM result QUALIFY part = 'pair' OR rank <= 200"""),
     "op13_conversation_repair": (op13_conversation_repair, REPAIR_SQL),
 }
