@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nearspark.llm import (ann, decontam, divergence, idcodec, jaccard, langid, licenses, packing, quality,
-                           repair, toxicity, warc_chunks)
+from nearspark.llm import (ann, decontam, divergence, idcodec, jaccard, langid, licenses, lmscore, packing,
+                           quality, repair, toxicity, warc_chunks)
 from nearspark.llm.repair_sql import REPAIR_SQL
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -61,6 +61,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return lmscore.score(docs, *lmscore.fit(docs))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
@@ -128,6 +133,7 @@ FROM r"""),
     "op10_decontamination": (op10_decontamination, _containment_sql(
         "items AS (SELECT item_id, text FROM benchmark),", "item_id", _WORDS,
         "doc_id, item_id, n::INTEGER AS n_item, c::INTEGER AS n_shared")),
+    "op11_suffix_tree_score": (op11_suffix_tree_score, None),
     "op12_source_divergence": (op12_source_divergence, f"""
 WITH d AS (
   SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
