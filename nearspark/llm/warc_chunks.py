@@ -3,7 +3,8 @@
 A payload beyond ``CHUNK_BYTES`` is written as a segmented record (WARC 1.1: first
 segment, then ``continuation`` records that name it), so an archive is a table of
 (record id, chunk number, bytes) and no reader or writer of archives has to hold
-more than a chunk. Spark's text writer joins the records by the two line ends that
+more than a chunk: a generator cuts the payload's bytes where they lie, carries one
+digest over the chunks and hands on batches of about ``BATCH_BYTES``. Spark's text writer joins the records by the two line ends that
 close a WARC record; its reader, parting at ``CRLF CRLF WARC/1.1 CRLF``, gets them
 back on any store, split over tasks. A payload that holds that mark itself is cut
 inside the mark.
@@ -16,13 +17,16 @@ says fails the read.
 
 Of payloads that are equal and at least ``least_bytes`` long, the row with the
 largest id is written as ``response``, the others as ``revisit`` of it, without a
-block. Equality is that of SHA-1 and length. A null payload is an empty one.
-Repeated rows give a record each. Columns other than id, payload and uri are ignored.
+block. Equality is that of SHA-1 and length; rows that share an id are told apart by it.
+A null payload is an empty one. A row with a null id is always a response. Repeated
+rows give a record each. An empty table gives an empty archive and result. Columns
+other than id, payload and uri are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,39 +36,80 @@ from nearspark.llm.staging import stage
 from nearspark.session import shared_path
 
 CHUNK_BYTES = 64 << 10
+BATCH_BYTES = 1 << 20
 RECORDS_PER_FILE = 20_000
 BROADCAST_ROWS = 100_000
 _END = "\r\n\r\n"
 _MARK = _END + "WARC/1.1\r\n"
+_INSIDE = re.compile(rb"\r\n\r\nWARC(?=/1\.1)")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def revisits(pages: DataFrame, least_bytes: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """``(page_id, n, sha1)`` of all rows, and ``(page_id, refers_to)`` of those that repeat another."""
+    """``(page_id, n, sha1)`` of all rows, and ``(page_id, sha1, n, refers_to)`` of those that repeat another."""
     digests = stage(pages.select("page_id", F.octet_length("payload").alias("n"), F.sha1("payload").alias("sha1")),
                     "warc-digests")
     groups = (digests.filter(F.col("n") >= least_bytes).groupBy("sha1", "n")
               .agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("low")).filter("low < refers_to"))
     again = digests.join(groups.drop("low"), ["sha1", "n"]).filter("page_id < refers_to")
-    return digests, stage(again.select("page_id", "refers_to").distinct(), "warc-revisits")
-
-
-def _chunks(payload: Column, size: int) -> Column:
-    """A payload's pieces (binary): cut every ``size`` bytes, and inside any record mark."""
-    marked = F.when(payload.contains(_END + "WARC/1.1"),
-                    F.split(payload, "(?<=\\r\\n\\r\\nWARC)(?=/1\\.1)")).otherwise(F.array(payload))
-
-    def cut(piece: Column) -> Column:
-        raw = F.encode(piece, "UTF-8")
-        last = F.greatest(F.ceil(F.octet_length(piece) / F.lit(size)) - 1, F.lit(0)).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(raw, i * size + 1, F.lit(size)))
-
-    return F.flatten(F.transform(marked, cut))
-
-
-def _line(name: str, value: Column) -> Column:
-    """A header line, or nothing where the value is null."""
-    return F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")), F.lit(""))
+    return digests, stage(again.select("page_id", "sha1", "n", "refers_to").distinct(), "warc-revisits")
+
+
+def _cuts(payload: memoryview, size: int) -> list[int]:
+    """Where a payload's chunks end: every ``size`` bytes, and inside any record mark."""
+    ends, a = [], 0
+    for b in [*(m.end() for m in _INSIDE.finditer(payload)), len(payload)]:
+        ends += range(a + size, b, size)
+        ends.append(b)
+        a = b
+    return ends
+
+
+def _header(**fields) -> bytes:
+    lines = [f"{name.replace('_', '-')}: {value}\r\n" for name, value in fields.items() if value is not None]
+    return ("WARC/1.1\r\n" + "".join(lines) + "\r\n").encode()
+
+
+def _segments(row: dict, payload: memoryview, size: int, date: str):
+    """The records of one row, in order. Holds a chunk at a time and a running digest."""
+    own = f"<urn:page:{row['page_id'] or ''}:{row['uuid']}"
+    about = {"WARC_Date": date, "WARC_Target_URI": row["uri"], "WARC_Payload_Digest": f"sha1:{row['sha1']}",
+             "WARC_Payload_Length": row["n"]}
+    if row["refers_to"] is not None:
+        yield _header(WARC_Type="revisit", WARC_Record_ID=own + ">", **about,
+                      WARC_Refers_To=f"<urn:page:{row['refers_to']}>", WARC_Profile=_PROFILE, Content_Type="text/html",
+                      Content_Length=0)
+        return
+    ends, digest, a = _cuts(payload, size), hashlib.sha1(), 0
+    for i, b in enumerate(ends):
+        chunk = payload[a:b]
+        digest.update(chunk)
+        segment = {}
+        if len(ends) > 1:
+            segment = {"WARC_Segment_Number": i + 1, "WARC_Segment_Origin_ID": own + ">" if i else None,
+                       "WARC_Block_Digest": f"sha1:{hashlib.sha1(chunk).hexdigest()}",
+                       "WARC_Segment_Total_Length": row["n"] if b == len(payload) else None}
+        if b == len(payload) and digest.hexdigest() != row["sha1"]:
+            raise ValueError(f"page {row['page_id']}: its payload changed while it was written")
+        yield _header(WARC_Type="continuation" if i else "response", WARC_Record_ID=own + (f"/{i}>" if i else ">"),
+                      **about, **segment, Content_Type="text/html", Content_Length=b - a) + chunk
+        a = b
+
+
+def _records(size: int, date: str):
+    def run(batches):
+        out, held = [], 0
+        for batch in batches:
+            payloads = batch.column("payload")
+            for i, row in enumerate(batch.drop_columns(["payload"]).to_pylist()):
+                for record in _segments(row, memoryview(payloads[i].as_buffer()), size, date):
+                    out.append(record)
+                    held += len(record)
+                    if held >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                        out, held = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+    return run
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", uri_col: str = "url",
@@ -72,31 +117,16 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str
     """Write archives of all rows to the folder ``path``."""
     uri = F.regexp_replace(F.col(uri_col).cast("string"), "[\\x00-\\x20]", "%20") if uri_col in pages.columns else F.lit(None)
     rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"),
-                        uri.alias("uri"))
+                        uri.cast("string").alias("uri"))
     _, again = revisits(rows, least_bytes)
     few = again.count() <= BROADCAST_ROWS  # beyond that, a shuffled join
-    rows = rows.join(F.broadcast(again) if few else again, "page_id", "left")
-    empty = F.array(F.encode(F.lit(""), "UTF-8"))
-    rows = rows.select(
-        "page_id", "uri", "refers_to", F.uuid().alias("uuid"), F.octet_length("payload").alias("n"), F.sha1("payload").alias("sha1"),
-        F.when(F.col("refers_to").isNull(), _chunks(F.col("payload"), chunk_bytes)).otherwise(empty).alias("chunks"))
-    rows = rows.select("*", F.size("chunks").alias("n_chunks"), F.posexplode("chunks").alias("i", "chunk")).drop("chunks")
-    own = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), F.col("uuid"))
-    several, first, last = F.col("n_chunks") > 1, F.col("i") == 0, F.col("i") == F.col("n_chunks") - 1
-    kind = F.when(F.col("refers_to").isNotNull(), "revisit").when(first, "response").otherwise("continuation")
-    record = F.concat(
-        F.lit("WARC/1.1\r\n"), _line("WARC-Type", kind),
-        _line("WARC-Record-ID", F.concat(own, F.when(first, "").otherwise(F.concat(F.lit("/"), F.col("i"))), F.lit(">"))),
-        _line("WARC-Date", F.lit(date)), _line("WARC-Target-URI", F.col("uri")),
-        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))), _line("WARC-Payload-Length", F.col("n")),
-        _line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to"), F.lit(">"))),
-        _line("WARC-Profile", F.when(F.col("refers_to").isNotNull(), F.lit(_PROFILE))),
-        _line("WARC-Segment-Number", F.when(several, F.col("i") + 1)),
-        _line("WARC-Segment-Origin-ID", F.when(several & ~first, F.concat(own, F.lit(">")))),
-        _line("WARC-Segment-Total-Length", F.when(several & last, F.col("n"))),
-        _line("Content-Type", F.lit("text/html")), _line("Content-Length", F.octet_length("chunk")), F.lit("\r\n"),
-        F.col("chunk").cast("string"))
-    rows.select(record.alias("value")).write.option("lineSep", _END).option(
+    rows = (rows.withColumns({"n": F.octet_length("payload"), "sha1": F.sha1("payload")})
+            .join(F.broadcast(again) if few else again, ["page_id", "sha1", "n"], "left"))
+    rows = rows.select(F.col("page_id").cast("string").alias("page_id"), "uri",
+                       F.col("refers_to").cast("string").alias("refers_to"), F.uuid().alias("uuid"), "n", "sha1",
+                       F.col("payload").cast("binary").alias("payload"))
+    records = rows.mapInArrow(_records(chunk_bytes, date), "value binary")
+    records.select(F.col("value").cast("string").alias("value")).write.option("lineSep", _END).option(
         "maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
