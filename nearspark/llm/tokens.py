@@ -30,6 +30,7 @@ class WordTokenizer:
         self.word_end = np.zeros(self.size, bool)
         self.word_end[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
+        self.closing: dict[str, bool] = {}  # at most one entry a letter
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -54,8 +55,14 @@ class WordTokenizer:
         for w, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
             self.cache[w] = np.array(got.ids, np.uint32).tobytes()
 
-    @staticmethod
-    def _word(w: str) -> tuple[str, str]:
+    def _closes(self, letter: str) -> bool:
+        """Whether a mark behind ``letter`` starts a unit: not if its normal form ends in a mark."""
+        if letter not in self.closing:
+            self.closing[letter] = (letter.isalpha() or letter in "0123456789") and (
+                letter.isascii() or self.tokenizer.normalizer.normalize_str(letter)[-1:].isalpha())
+        return self.closing[letter]
+
+    def _word(self, w: str) -> tuple[str, str]:
         """A word as a stem and the run of ASCII marks behind its last letter or digit.
 
         Such a run is a unit of its own to the tokenizer (an apostrophe may not be).
@@ -63,7 +70,7 @@ class WordTokenizer:
         if w.isascii():
             w = w.lower()
         stem = w.rstrip(_MARKS)
-        if stem and len(stem) < len(w) and (stem[-1].isalpha() or stem[-1] in "0123456789"):
+        if stem and len(stem) < len(w) and self._closes(stem[-1]):
             return stem, w[len(stem):]
         return w, ""
 
