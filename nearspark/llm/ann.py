@@ -14,8 +14,11 @@ node of each search, one NumPy call for all.
 
 Equal vectors share a node, which carries the ``k + 1`` smallest ids (more can
 never be among the ``k`` nearest, as ties go to the smaller id). Rows whose vector
-is null, zero, or holds a null or a non-finite component take no part, nor do
-vectors of another length than most. Other columns are ignored.
+is null, zero, or holds a null or a non-finite component take no part, nor do rows
+with a null id or vectors of another length than most. An id that repeats is found
+with each of its vectors, and asks with the smallest of them. Ties of what is found go
+to the smaller id. Fewer candidates than ``k`` give fewer rows, an empty table none.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -218,7 +221,7 @@ def _search_shard(k: int, ef: int):
                 for j, hits in enumerate(found):
                     hits = hits[hits >= 0]
                     exact = vectors[hits] @ q[i + j]
-                    order = np.argsort(-exact, kind="stable")[:k + 1]
+                    order = np.lexsort((list_ids[list_at[hits]], -exact))[:k + 1]  # by score, then smallest id
                     cand = [(s, v) for s, h in zip(exact[order].tolist(), hits[order].tolist())
                             for v in list_ids[list_at[h]:list_at[h + 1]].tolist() if v != ids[i + j]]
                     for s, v in sorted(cand, key=lambda c: (-c[0], c[1]))[:k]:
@@ -273,5 +276,5 @@ def search_table(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "v
                  vector_col: str = "embedding") -> DataFrame:
     """The ``k`` nearest rows of every row whose id is divisible by ``every``."""
     vectors = stage(usable(rows, id_col, vector_col), "ann-vectors")
-    queries = vectors.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    queries = vectors.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     return nearest(queries, index(vectors, k), k)

@@ -271,3 +271,57 @@ def test_small_batches_keep_smaller_settings_and_lower_larger_ones(spark):
     finally:
         spark.conf.set(rows, before[0])
         spark.conf.set(size, before[1])
+
+
+def test_warc_keeps_payloads_of_equal_ids(spark, none):
+    a, b = "A" * 2000, "B" * 2000
+    rows = [(1, a), (1, b), (2, a), (3, b), (None, a), (1, a)]
+    df = spark.createDataFrame([(i, h, 9, "x") for i, h in rows], "page_id long, html string, n int, sha1 string")
+    import hashlib
+    sha = {x: hashlib.sha1(x.encode()).hexdigest() for x in (a, b)}
+    got = sorted(((r.page_id or 0, r.payload_digest, r.record_type, r.refers_to)
+                  for r in warc_chunks.round_trip(df).collect()), key=str)
+    assert got == sorted([(0, sha[a], "response", None), (1, sha[a], "revisit", 2), (1, sha[a], "revisit", 2),
+                          (1, sha[b], "revisit", 3), (2, sha[a], "response", None), (3, sha[b], "response", None)], key=str)
+    assert warc_chunks.round_trip(none.selectExpr("doc_id page_id", "text html")).collect() == []
+
+
+def test_warc_long_payload_is_cut_once(spark):
+    import hashlib
+    text = ("é\r\n\r\nWARC/1.1\r\n" + "x" * 999) * 32_000  # 32 MB, a record mark every kilobyte
+    df = spark.createDataFrame([(1, "short")], "page_id long, html string").union(
+        spark.range(1).select(F.lit(2).cast("long"), F.expr("repeat('é\\r\\n\\r\\nWARC/1.1\\r\\n' || repeat('x', 999), 32000)")))
+    got = {r.page_id: r for r in warc_chunks.round_trip(df).collect()}
+    assert got[2].payload_bytes == len(text.encode())
+    assert got[2].payload_digest == hashlib.sha1(text.encode()).hexdigest()
+    assert got[1].payload_bytes == 5
+
+
+def test_cuts_are_linear_and_whole():
+    raw = memoryview(b"ab\r\n\r\nWARC/1.1\r\ncd" * 3 + b"x" * 100)
+    ends = warc_chunks._cuts(raw, 7)
+    assert ends[-1] == len(raw) and all(0 < b - a <= 7 for a, b in zip([0, *ends], ends))
+    pieces = [bytes(raw[a:b]) for a, b in zip([0, *ends], ends)]
+    assert b"".join(pieces) == bytes(raw) and not any(b"\r\n\r\nWARC/1.1" in x for x in pieces)
+
+
+def test_every_letter_before_a_mark():
+    import unicodedata
+    letters = [c for c in map(chr, range(128, 0x20000)) if unicodedata.category(c)[0] in "LN"]
+    words = [w for c in letters for w in (c + "!!", "a" + c + "'s.")]
+    tok = tokens.WordTokenizer(WORD_TOKENIZER)
+    ids, counts = tok.encode(pa.array(words))
+    plain = tok.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+    ends = np.cumsum(counts)
+    assert [ids[b - n:b].tolist() for b, n in zip(ends.tolist(), counts.tolist())] == [x.ids for x in plain]
+
+
+def test_nearest_breaks_ties_by_id_and_takes_odd_tables(spark):
+    schema = "vec_id long, embedding array<float>, v int, rank int"
+    rows = [(i, [1.0, float(i)], 0, 0) for i in range(60)]  # the query is id 0: every inner product is 1
+    got = ann.search_table(spark.createDataFrame(rows, schema), every=100, k=5).orderBy("rank").collect()
+    assert [(r.vec_id, r["rank"], r.score) for r in got] == [(i, i, 1.0) for i in range(1, 6)]
+    few = [(0, [1.0, 0.0], 0, 0), (0, [3.0, 0.0], 0, 0), (None, [1.0, 1.0], 0, 0), (1, [2.0, 0.0], 0, 0), (2, None, 0, 0)]
+    got = ann.search_table(spark.createDataFrame(few, schema), every=100, k=5).collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, 2.0)]
+    assert ann.search_table(spark.createDataFrame([], schema), every=100, k=5).collect() == []
