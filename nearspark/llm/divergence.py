@@ -8,8 +8,8 @@ language as a whole. It gives every kept term ``p = 1 + floor(10**9 * (count + 1
 
 Pairs of sources are compared over run-length columns. The vocabulary is reordered
 so that equal counts stand together: terms with the same counts in all sources are
-one row with a run length, and these rows are ordered by total count and counts,
-over all tasks, and cut into blocks. In a block each source's column is encoded as
+one row with a run length, and these rows are ordered by total count and first
+source, over all tasks, cut into blocks and ordered by their counts. In a block each source's column is encoded as
 runs of equal ``p``. For a pair the two columns' run boundaries are intersected and
 ``f`` of every stretch is multiplied by its length. A block's sums are added up per
 pair. So the work follows the runs, not the vocabulary.
@@ -39,7 +39,7 @@ from nearspark.llm.staging import stage
 
 SCALE = 10 ** 9
 BLOCK_ROWS = 4096
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 HELD_ROWS = 400_000
 
 _U = np.uint64
@@ -206,7 +206,8 @@ def pair_divergence(kept: DataFrame, totals: DataFrame) -> DataFrame:
     rows = stage(kept.groupBy("lang", "counts").agg(F.count("*").alias("run"), F.first("total").alias("total")),
                  "count-rows")
     n_blocks = max(1, -(-rows.count() // BLOCK_ROWS))
-    blocks = (rows.repartitionByRange(n_blocks, "lang", "total", "counts")
+    first = F.get("counts", F.lit(0))  # short sort keys: Spark samples them to the driver
+    blocks = (rows.repartitionByRange(n_blocks, "lang", "total", first["source"], first["n"], F.xxhash64("counts"))
               .select("lang", (F.spark_partition_id() % n_blocks).alias("block"), "counts", "run"))
     sides = totals.select("lang", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "source", "n", "v")
     sums = (blocks.groupBy("lang", "block").cogroup(sides.groupBy("lang", "block"))
