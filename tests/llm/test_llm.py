@@ -253,7 +253,7 @@ def test_warc_repeated_rows_and_null_ids_of_several_chunks(spark, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda q: int(q[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda q: int(q[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_small_batches_keep_smaller_settings_and_lower_larger_ones(spark):
