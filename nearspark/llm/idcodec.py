@@ -7,7 +7,8 @@ coding step per id draws on three predictions:
 
 * order 2: the id that last followed the two ids before, in this block,
 * order 1: the id that last followed the id before, in this block,
-* order 0: the chunk's id frequencies, scaled to ``2**18`` slots.
+* order 0: the chunk's id frequencies, scaled to ``2**18`` slots, or more where
+  the chunk has more than 65,536 distinct ids.
 
 Their shares of the coding interval adapt: each of the first two has a hit
 probability per state of confidence (how often in a row its prediction held),
@@ -17,8 +18,10 @@ The coder is a 64-bit carry-less range coder that sends 32-bit words.
 All blocks of a chunk are coded in step, one NumPy lane each, so Python's cost
 per id is that of a few array elements. Chunks are rows of a Parquet table (the
 file format): Spark's writers commit them on any store, a lost task is redone
-alone. Documents are dealt by ranges of their id; empty and null texts hold the
-end id alone. Rows that repeat an id stay, next to each other.
+alone. Documents are dealt by ranges of their id, of any type; empty and null texts
+hold the end id alone. Rows that repeat an id stay, next to each other; null ids come
+first. A very long text is a chunk of its own. An empty table gives no chunks and no
+rows. Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from nearspark.llm.staging import partitions_for, stage
 from nearspark.llm.tokens import token_slices
@@ -36,9 +40,7 @@ from nearspark.llm.tokens import token_slices
 BLOCK = 4096
 LANES = 1024
 SLOT_BITS = 18
-_SLOTS = 1 << SLOT_BITS
-_TOTAL_BITS = 24
-_TOTAL = 1 << _TOTAL_BITS
+UNIT_BITS = 6  # a slot of order 0 is up to 64 units of the coding interval
 _HASH = 1024
 _STATES = 8
 _U = np.uint64
@@ -46,20 +48,25 @@ _WORD = _U(1 << 32)
 _LOW = _U((1 << 32) - 1)
 
 
+def slot_bits(n_values: int) -> int:
+    """Slots of a table of ``n_values`` distinct ids: four for each at least."""
+    return max(SLOT_BITS, (4 * n_values - 1).bit_length())
+
+
 def frequency_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids and their slots (at least 1 each, ``2**18`` in all)."""
+    """Distinct ids and their slots: at least 1 each, ``2**slot_bits`` in all."""
     values, counts = np.unique(ids, return_counts=True)
-    if len(values) > _SLOTS // 4:
-        raise ValueError("too many distinct ids for the order-0 table")
-    slots = 1 + (counts * (_SLOTS - len(values))) // counts.sum()
-    slots[np.argmax(slots)] += _SLOTS - slots.sum()
+    all_slots = 1 << slot_bits(len(values))
+    slots = 1 + (counts * (all_slots - len(values))) // counts.sum()
+    slots[np.argmax(slots)] += all_slots - slots.sum()
     return values.astype(np.uint32), slots.astype(np.uint32)
 
 
 class _Model:
     """State of the order-1 and order-2 predictions of every lane."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, bits: int):
+        self.bits, self.total_bits = bits, bits + UNIT_BITS
         self.two = np.zeros((lanes, _HASH), np.int64).reshape(-1)  # id + 1, confidence above bit 32
         self.one = np.zeros((lanes, _HASH), np.int64).reshape(-1)
         # hit probability out of 2**16; state 0 of a context never seen is kept apart by id 0
@@ -87,7 +94,7 @@ class _Model:
         rest = (65536 - w2) * (65536 - w1) >> 16
         # A valid prediction keeps at least one of 64 units, so its share is never empty.
         unit = np.minimum(np.maximum(rest >> 10, 1), 64 - (has2 | has1))
-        hits = _TOTAL - (unit << SLOT_BITS)
+        hits = (1 << self.total_bits) - (unit << self.bits)
         w1 = np.maximum((65536 - w2) * w1 >> 16, has1)
         two = hits * w2 // np.maximum(w2 + w1, 1)
         return two, hits, unit
@@ -122,7 +129,7 @@ def encode_blocks(ids: np.ndarray, values: np.ndarray, slots: np.ndarray) -> lis
     padded[:len(ids)] = rank
     steps = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
     ident, width = values.astype(np.int64), slots.astype(np.int64)
-    model = _Model(lanes)
+    model = _Model(lanes, slot_bits(len(values)))
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, ~_U(0))
     words = np.zeros((lanes, 2 * BLOCK + 2), np.uint32)
     sent = np.zeros(lanes, np.int64)
@@ -136,7 +143,7 @@ def encode_blocks(ids: np.ndarray, values: np.ndarray, slots: np.ndarray) -> lis
         from0 = ~(is2 | is1)
         start = np.where(from0, hits + first[r] * unit, two * is1).astype(np.uint64)
         size = np.where(from0, width[r] * unit, np.where(is2, two, hits - two)).astype(np.uint64)
-        lo, part = low[:n], span[:n] >> _U(_TOTAL_BITS)
+        lo, part = low[:n], span[:n] >> _U(model.total_bits)
         lo += start * part
         part *= size
         settled = (lo ^ (lo + part)) < _WORD
@@ -167,7 +174,7 @@ def decode_blocks(blocks: list[np.ndarray], total: int, values: np.ndarray, slot
     words = np.zeros((lanes, max(map(len, blocks)) + 1), np.uint64)
     for i, w in enumerate(blocks):
         words[i, :len(w)] = w
-    model = _Model(lanes)
+    model = _Model(lanes, slot_bits(len(values)))
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, ~_U(0))
     code = (words[:, 0] << _U(32)) | words[:, 1]
     read = np.full(lanes, 2)
@@ -175,8 +182,8 @@ def decode_blocks(blocks: list[np.ndarray], total: int, values: np.ndarray, slot
     for t in range(int(length.max())):
         n = lanes if t < length[-1] else lanes - 1
         two, hits, unit = model.shares(n)
-        lo, part = low[:n], span[:n] >> _U(_TOTAL_BITS)
-        v = np.minimum((code[:n] - lo) // part, _U(_TOTAL - 1)).astype(np.int64)
+        lo, part = low[:n], span[:n] >> _U(model.total_bits)
+        v = np.minimum((code[:n] - lo) // part, _U((1 << model.total_bits) - 1)).astype(np.int64)
         is2 = v < two
         from0 = v >= hits
         r = of_slot[np.where(from0, (v - hits) // unit, 0)]
@@ -251,15 +258,14 @@ def _write(path: str, end_id: int, id_type: pa.DataType):
                 [{"part": part, "chunk": chunk, "doc_ids": docs, "doc_lengths": lengths}
                  | pack_chunk(np.concatenate(held))], schema=fields)
 
-        for batch in batches:
-            for a, ids, counts in token_slices(batch, path, end_id, 8 << 20):
-                docs += batch.column(0).slice(a, len(counts)).to_pylist()
-                lengths += counts.tolist()
-                held.append(ids)
-                size += len(ids)
-                if size >= BLOCK * LANES:
-                    yield flush()
-                    docs, lengths, held, size, chunk = [], [], [], 0, chunk + 1
+        for batch, a, ids, counts in token_slices(batches, path, end_id, 8 << 20):
+            docs += batch.column(0).slice(a, len(counts)).to_pylist()
+            lengths += counts.tolist()
+            held.append(ids)
+            size += len(ids)
+            if size >= BLOCK * LANES:
+                yield flush()
+                docs, lengths, held, size, chunk = [], [], [], 0, chunk + 1
         if docs:
             yield flush()
     return run
@@ -272,7 +278,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = partitions_for(spark, n_bytes, 24 << 20)
-    id_type = {"string": pa.string(), "int": pa.int32()}.get(docs.schema[id_col].dataType.simpleString(), pa.int64())
+    id_type = to_arrow_type(docs.schema[id_col].dataType)
     kind = docs.schema[id_col].dataType.simpleString()
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     return stage(ordered.mapInArrow(_write(tokenizer_path, end_id, id_type), CHUNK_SCHEMA.format(kind)), "token-ids")

@@ -32,24 +32,23 @@ def _cut(path: str, end_id: int, capacity: int, keep_ids: bool):
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
 
     def run(batches):
-        for batch in batches:
-            for a, ids, counts in token_slices(batch, path, end_id, SLICE_BYTES):
-                first = np.concatenate([[0], np.cumsum(counts)])
-                pieces = -(-counts // capacity)
-                doc = np.repeat(np.arange(len(counts)), pieces)
-                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                start = piece * capacity
-                length = np.minimum(counts[doc] - start, capacity)
-                raw = memoryview(ids.astype("<u4").tobytes())
-                lo = (first[doc] + start) * 4
-                cuts = [raw[x:y] for x, y in zip(lo.tolist(), (lo + length * 4).tolist())]
-                cols = [batch.column(0).take(pa.array(a + doc)), pa.array(piece.astype(np.int32)),
-                        pa.array(start), pa.array(length),
-                        pa.array([zlib.crc32(c) for c in cuts], pa.int64())]
-                if keep_ids:
-                    cols.append(pa.array([np.frombuffer(c, "<u4").astype(np.int32) for c in cuts],
-                                         pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+        for batch, a, ids, counts in token_slices(batches, path, end_id, SLICE_BYTES):
+            first = np.concatenate([[0], np.cumsum(counts)])
+            pieces = -(-counts // capacity)
+            doc = np.repeat(np.arange(len(counts)), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(counts[doc] - start, capacity)
+            raw = memoryview(ids.astype("<u4").tobytes())
+            lo = (first[doc] + start) * 4
+            cuts = [raw[x:y] for x, y in zip(lo.tolist(), (lo + length * 4).tolist())]
+            cols = [batch.column(0).take(pa.array(a + doc)), pa.array(piece.astype(np.int32)),
+                    pa.array(start), pa.array(length),
+                    pa.array([zlib.crc32(c) for c in cuts], pa.int64())]
+            if keep_ids:
+                cols.append(pa.array([np.frombuffer(c, "<u4").astype(np.int32) for c in cuts],
+                                     pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(cols, names=names)
     return run
 
 

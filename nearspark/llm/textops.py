@@ -87,10 +87,10 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return s, e, np.searchsorted(s, off)
 
 
-def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, byte: np.ndarray = _BYTE) -> np.ndarray:
     power, inverse = _power_tables(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[:len(data)], out=total[1:])
+    np.cumsum(byte[data] * power[:len(data)], out=total[1:])
     return mix((total[e] - total[s]) * inverse[s])
 
 

@@ -325,3 +325,26 @@ def test_nearest_breaks_ties_by_id_and_takes_odd_tables(spark):
     got = ann.search_table(spark.createDataFrame(few, schema), every=100, k=5).collect()
     assert [tuple(r) for r in got] == [(0, 1, 1, 2.0)]
     assert ann.search_table(spark.createDataFrame([], schema), every=100, k=5).collect() == []
+
+
+def test_codec_takes_any_vocabulary_and_id_type(spark):
+    rng = np.random.default_rng(2)
+    for ids in (np.arange(70_000), np.concatenate([rng.permutation(300_000), rng.integers(0, 50, 5000)]),
+                np.array([2 ** 32 - 1, 0, 2 ** 32 - 1])):
+        ids = ids.astype(np.uint32)
+        assert np.array_equal(idcodec.unpack_chunk(idcodec.pack_chunk(ids)), ids)
+    for kind in ("short", "string", "double"):
+        df = spark.createDataFrame([(2, "b"), (1, "a"), (None, None)], "i long, text string").selectExpr(
+            f"cast(i AS {kind}) AS doc_id", "text", "'x' AS part", "1 AS chunk")
+        got = idcodec.read_ids(idcodec.write_ids(df, WORD_TOKENIZER)).orderBy("start").collect()
+        assert [r.start for r in got] == [0, 1, 3] and got[0].doc_id is None
+
+
+def test_piece_cache_cut_back_gives_the_same_ids(spark, sf, monkeypatch):
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    plain = tokens.WordTokenizer(WORD_TOKENIZER)
+    want = [plain.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(tokens, "MOST_PIECES", 500)
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 3000)
+    ids, counts = tokens.WordTokenizer(WORD_TOKENIZER).encode(pa.array(texts))
+    assert ids.tolist() == [i for x in want for i in x] and counts.tolist() == [len(x) for x in want]
