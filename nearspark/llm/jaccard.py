@@ -23,7 +23,8 @@ Sets are handled by class: texts with equal sets share a 64-bit class hash, are
 sent once per batch of rows, and are never compared. In a signature's bucket the
 members are first verified against one of them only, then, where a bucket still
 holds several components, against the member with most links; last, every pair
-across components is verified that sizes and sketches do not rule out. A group
+across components is verified that sizes and sketches do not rule out; large buckets
+are cut into tiles for that, and a task hands on a pair once. A group
 of near copies thus costs rows in proportion to its size, and no link is lost.
 Verification intersects the full shingle sets.
 
@@ -46,11 +47,14 @@ from pyspark.sql import functions as F
 from nearspark.llm import textops as T
 from nearspark.llm.staging import partitions_for, stage
 from nearspark.operators.graph import connected_components
+from nearspark.operators.pairs import tile_keys
 
 _U = np.uint64
 FILTER_BITS = 24  # 2 MiB as packed bits, whatever the corpus
 GROUPS = 128  # counters of a sketch
 HUB_ROUNDS = 1
+TILE = 1024  # members of a bucket compared with one another at a time
+PAIRS_HELD = 1_000_000
 BROADCAST_ROWS = 200_000  # of two longs
 
 
@@ -350,23 +354,55 @@ def _plausible(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFra
     return near.mapInArrow(run, "a long, b long")
 
 
+class _DistinctPairs:
+    """Distinct pairs of a task's buckets, which share most of theirs; handed on when ``PAIRS_HELD`` are held."""
+
+    def __init__(self):
+        self.fresh, self.n, self.held = [], 0, np.zeros((2, 0), np.int64)
+
+    def add(self, a: np.ndarray, b: np.ndarray):
+        self.fresh.append(np.vstack([np.minimum(a, b), np.maximum(a, b)]))
+        self.n += len(a)
+        if self.n >= PAIRS_HELD:
+            self._merge()
+            if self.held.shape[1] >= PAIRS_HELD // 2:
+                yield self.flush()
+
+    def _merge(self) -> None:
+        x = np.hstack([self.held, *self.fresh])
+        x = x[:, np.lexsort(x[::-1])]
+        new = np.ones(x.shape[1], bool)
+        new[1:] = (x[:, 1:] != x[:, :-1]).any(axis=0)
+        self.held, self.fresh, self.n = x[:, new], [], 0
+
+    def flush(self) -> pa.RecordBatch:
+        self._merge()
+        out = pa.RecordBatch.from_arrays([pa.array(self.held[0]), pa.array(self.held[1])], names=["a", "b"])
+        self.held = np.zeros((2, 0), np.int64)
+        return out
+
+
 def _cross_pairs(similarity: int):
-    """Plausible member pairs of a bucket that lie in different components, in bounded blocks."""
+    """Pairs of a tile's members of different components whose sizes allow a link, by size."""
     def run(batches):
+        pairs = _DistinctPairs()
         for batch in batches:
-            for members in batch.column("members"):
+            tiles = zip(batch.column("_lo").to_pylist(), batch.column("_hi").to_pylist(), batch.column("members"))
+            for lo, hi, members in tiles:
                 flat = members.values
-                ids, comp, n = (flat.field(f).to_numpy() for f in ("cls", "comp", "n"))
-                sk = _rows_of(flat.field("sk"))
-                for i in range(len(ids) - 1):
-                    for j in range(i + 1, len(ids), 50_000):
-                        o = slice(j, j + 50_000)
-                        ok = (comp[o] != comp[i]) & may_link(n[i], sk[i:i + 1], n[o], sk[o], similarity)
-                        if ok.any():
-                            other = ids[o][ok]
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(np.minimum(ids[i], other)), pa.array(np.maximum(ids[i], other))],
-                                names=["a", "b"])
+                cls, comp, n, tile = (flat.field(f).to_numpy() for f in ("cls", "comp", "n", "_t"))
+                order = np.argsort(n, kind="stable")
+                cls, comp, n, tile = cls[order], comp[order], n[order], tile[order]
+                to = np.searchsorted(n, 100 * n.astype(np.int64) // similarity, side="right")
+                for i in range(len(cls) - 1):
+                    o = slice(i + 1, to[i])
+                    ok = comp[o] != comp[i]
+                    if lo != hi:  # pairs within a tile are met where both tiles are the same
+                        ok &= tile[o] != tile[i]
+                    other = cls[o][ok]
+                    if len(other):
+                        yield from pairs.add(np.full(len(other), cls[i]), other)
+        yield pairs.flush()
     return run
 
 
@@ -398,11 +434,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     indexed = docs.select("text").mapInArrow(
         _index(k, similarity, parts), "part int, sigs array<long>, owners array<long>")
     buckets = indexed.groupBy("part").applyInArrow(_buckets, "bucket long, members array<long>")
-    buckets = stage(buckets.groupBy("bucket").agg(F.first("members").alias("members")), "op9-buckets")
+    hub = "array_min(transform(members, c -> named_struct('o', xxhash64(c, pmod(bucket, 2)), 'c', c))).c"
+    buckets = stage(buckets.groupBy("bucket").agg(F.first("members").alias("members")).withColumn("hub", F.expr(hub)),
+                    "op9-buckets")
 
     # Round 0: each bucket's members against one of them, by one of two fixed orders.
-    hub = "array_min(transform(members, c -> named_struct('o', xxhash64(c, pmod(bucket, 2)), 'c', c))).c"
-    star = buckets.select(F.expr(hub).alias("hub"), F.explode("members").alias("cls"))
+    star = buckets.select("hub", F.explode("members").alias("cls"))
     pairs = stage(_plausible(_pairs_with_hub(star), classes, similarity), "op9-pairs")
     edges = stage(_verify(pairs, _sets_for(pairs, classes, docs, k), similarity), "op9-edges")
     comps = _components(edges)
@@ -421,11 +458,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             break
         edges = edges.union(new)
         comps = _components(edges)
-    # What is left: every plausible pair of a bucket across components.
-    split = (_mixed_buckets(buckets, comps).join(classes.select("cls", "n", "sk"), "cls")
-             .groupBy("bucket").agg(F.collect_list(F.struct("cls", "comp", "n", "sk")).alias("members")))
-    rest = split.select("members").mapInArrow(_cross_pairs(similarity), "a long, b long").distinct()
-    rest = stage(rest.join(pairs, ["a", "b"], "left_anti"), "op9-rest")
+    # What is left: every plausible pair of a bucket across components, in tiles of a bucket. Tiles
+    # with the same smallest member share most pairs, and meet in a task that hands on each pair once.
+    sized = _mixed_buckets(buckets, comps).join(classes.select("cls", "n"), "cls")
+    tiles = (tile_keys(sized, ["bucket"], "cls", ["comp", "n"], TILE).groupBy("bucket", "_lo", "_hi")
+             .agg(F.collect_list(F.struct("cls", "comp", "n", "_t")).alias("members"), F.min("cls").alias("_least")))
+    rest = (tiles.repartition("_least").select("_lo", "_hi", "members")
+            .mapInArrow(_cross_pairs(similarity), "a long, b long").distinct())
+    rest = stage(_plausible(rest.join(pairs, ["a", "b"], "left_anti"), classes, similarity), "op9-rest")
     new = stage(_verify(rest, _sets_for(rest, classes, docs, k), similarity), "op9-edges")
     if not new.isEmpty():
         comps = _components(edges.union(new))

@@ -10,11 +10,12 @@ whole word sequence as its only shingle. Words and shingles are identified by
 from __future__ import annotations
 
 import ctypes
+import gc
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _U = np.uint64
 
 
@@ -43,14 +44,18 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and its inverse; kept until the task ends, but for a text beyond any slice."""
     have = _powers.get("p")
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for name, base in (("p", _P), ("i", _P_INV)):
-            t = np.full(size, _U(base))
-            t[0] = _U(1)
-            _powers[name] = np.multiply.accumulate(t)
-    return _powers["p"], _powers["i"]
+    if have is not None and len(have) >= n:
+        return _powers["p"], _powers["i"]
+    tables = []
+    for base in (_P, _P_INV):
+        t = np.full(max(n, SLICE_BYTES + 1), _U(base))
+        t[0] = _U(1)
+        tables.append(np.multiply.accumulate(t))
+    if n <= 4 * SLICE_BYTES:
+        _powers["p"], _powers["i"] = tables
+    return tables[0], tables[1]
 
 
 def text_slices(batch: pa.RecordBatch, text_col: str = "text", max_bytes: int = SLICE_BYTES):
@@ -130,7 +135,9 @@ def bits_to_filter(n_bits_log2: int, hashes: np.ndarray) -> np.ndarray:
 
 
 def give_back_memory() -> None:
-    """Return freed memory to the system: Spark keeps a Python worker for its next task."""
+    """Drop tables and return freed memory to the system: Spark keeps a Python worker for its next task."""
+    _powers.clear()
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -11,11 +11,13 @@ hashes.
 
 The cache is three flat arrays. It is cut back to the pieces of the slice at hand
 when it holds more than ``MOST_PIECES``, and given up at the end of a task, as
-Spark keeps a Python worker for its next one.
+Spark keeps a Python worker for its next one; only the tokenizer itself stays.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,7 +25,7 @@ import pyarrow.compute as pc
 from nearspark.llm import textops as T
 
 MOST_PIECES = 500_000
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _U = np.uint64
 
 
@@ -47,7 +49,8 @@ def pieces_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = len(data)
     if not len(s):
         return s, e, np.zeros(0, _U), np.zeros(len(off), np.int64)
-    odd_before = np.concatenate([[0], np.cumsum(_ODD[data])])
+    odd_before = np.zeros(n + 1, np.int32)
+    np.cumsum(_ODD[data], out=odd_before[1:])
     odd = odd_before[e] > odd_before[s]
     change = np.zeros(n + 1, np.int8)  # inside words that are cut: +1 at their start, -1 at their end
     change[s[~odd]] += 1
@@ -68,11 +71,17 @@ def pieces_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return begin, end, h, np.searchsorted(begin, off)
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(path: str):
+    """One per worker process: what a tokenizer holds is not given back when it goes."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class WordTokenizer:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = _tokenizer(path)
         vocab = self.tokenizer.get_vocab()
         self.size = max(vocab.values()) + 1
         self.word_end = np.zeros(self.size, bool)
