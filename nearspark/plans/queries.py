@@ -438,6 +438,20 @@ def dedupe_url(spark, sf_dir):
     return PG.dedupe_urls(_duplicated_pages(spark, sf_dir))
 
 
+@register("insert_or_ignore", """SELECT url,
+  CASE WHEN contains(url, '?') THEN html || '<!-- copy -->' ELSE html END AS html FROM pages""")
+def insert_or_ignore(spark, sf_dir):
+    """Two loads that overlap, the second one repeated: URLs without a query string come with the first,
+    all with the second, whose copies of stored URLs are ignored."""
+    path = shared_path(spark, "page-store")
+    both = _duplicated_pages(spark, sf_dir)
+    copy = F.endswith(F.col("html"), F.lit("<!-- copy -->"))
+    PG.insert_or_ignore(both.filter(~copy & ~F.contains(F.col("url"), F.lit("?"))), path, load=1)
+    for _ in range(2):
+        PG.insert_or_ignore(both.filter(copy), path, load=2)
+    return PG.read_pages(spark, path)
+
+
 def _warc_roundtrip(spark, sf_dir, broken_every: int = 0):
     out = shared_path(spark, "warc")
     index = materialize(WA.write_warc(read(spark, sf_dir, "pages"), out,
