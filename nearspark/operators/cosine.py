@@ -4,10 +4,15 @@ Sparse (TF-IDF, unit rows): exact prefix-filter join. Terms are put in one
 global order, rarest first. A document's *prefix* is every term whose tail
 norm (that term and all later ones) is at least t. If x.y >= t, the first
 term the two share lies in both prefixes (otherwise x.y <= ||tail|| < t), so
-an equi-join on prefix terms finds every qualifying pair; the exact score of
-each distinct candidate is then summed over all shared terms. Common terms
-sit at the end of the order, so they rarely enter a prefix: the join does not
-square their posting lists.
+an equi-join on prefix terms finds every qualifying pair. What the pair shares
+up to its last common prefix term is known from the join; the rest is at most
+the product of the two tails behind that term. Only pairs whose sum of both
+reaches t are scored exactly. Common terms sit at the end of the order, so they
+rarely enter a prefix: the join does not square their posting lists.
+
+Equal bags are collapsed first: the join sees one representative of each class,
+and its copies come back as members (``sparse_cosine_pairs``) or as a star
+around it (``cosine_links``), which needs one row a copy instead of a clique.
 
 Dense (LSA vectors, embeddings): block-pair join. Vectors are cut into tiles;
 each tile pair is one group handled by numpy matrix products, which emit only
@@ -16,12 +21,15 @@ the pairs that reach the threshold.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearspark.operators import pairs as P
+from nearspark.session import materialize
 
 _EPS = 1e-9  # prefix test slack: keeps borderline terms in the prefix (exactness)
 
@@ -39,26 +47,71 @@ def prefix_entries(vecs: DataFrame, id_col: str, threshold: float) -> DataFrame:
     tail = Window.partitionBy(id_col).orderBy(F.col("df").desc(), F.col("term").desc()) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     with_tail = vecs.withColumn("_tail2", F.sum(F.col("w") * F.col("w")).over(tail))
+    behind = F.sqrt(F.greatest(F.col("_tail2") - F.col("w") * F.col("w"), F.lit(0.0)))
     return (with_tail.filter(F.col("_tail2") >= F.lit(threshold * threshold - _EPS))
-            .withColumn("_tail", F.sqrt("_tail2")).drop("_tail2"))
+            .withColumns({"_tail": F.sqrt("_tail2"), "_behind": behind}).drop("_tail2"))
+
+
+def equal_classes(bag: DataFrame, id_col: str = "doc_id", value_col: str = "tf") -> DataFrame:
+    """``(id, rep)``: documents of equal bags share the smallest id. Bags are known by 128-bit hashes and size."""
+    signature = bag.groupBy(id_col).agg(
+        F.bit_xor(F.xxhash64("term", value_col)).alias("_a"),
+        F.bit_xor(F.xxhash64(F.lit(1), value_col, "term")).alias("_b"), F.count(F.lit(1)).alias("_n"))
+    reps = signature.groupBy("_a", "_b", "_n").agg(F.min(id_col).alias("rep"))
+    return signature.join(reps, ["_a", "_b", "_n"]).select(id_col, "rep")
+
+
+def candidates(vecs: DataFrame, id_col: str, threshold: float, tile_size: int = P.DEFAULT_TILE) -> DataFrame:
+    """Pairs ``(id1, id2)`` that may reach the threshold, by what they share and the tails behind."""
+    prefix = prefix_entries(vecs, id_col, threshold).select(id_col, "term", "w", "_behind")
+    joined = P.group_self_pairs(prefix, ["term"], id_col, ["w", "_behind"], tile_size=tile_size)
+    # Tails fall along the term order, so the least product belongs to the last shared prefix term.
+    # All shared terms up to it are in both prefixes, so their products are all in the sum.
+    bound = F.sum(F.col("w_1") * F.col("w_2")) + F.min(F.col("_behind_1") * F.col("_behind_2"))
+    return (joined.groupBy("id1", "id2").agg(bound.alias("_bound"))
+            .filter(F.col("_bound") >= F.lit(threshold - _EPS)).select("id1", "id2"))
+
+
+def _representatives(vecs: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
+    reps = classes.filter(F.col("rep") == F.col(id_col)).select(id_col)
+    return materialize(vecs.join(reps, id_col, "left_semi"))
 
 
 def sparse_cosine_pairs(vecs: DataFrame, id_col: str = "doc_id", threshold: float = 0.8,
-                        strict: bool = False, tile_size: int = P.DEFAULT_TILE,
-                        block_docs: int = 2048) -> DataFrame:
+                        strict: bool = False, tile_size: int = P.DEFAULT_TILE, block_docs: int = 2048,
+                        classes: DataFrame | None = None) -> DataFrame:
     """All pairs ``(id1, id2, value)`` of unit sparse vectors with cosine >= t (> t if strict).
 
-    ``vecs`` has ``(id, term, w, df)``; ``df`` fixes the global term order.
+    ``vecs`` has ``(id, term, w, df)``; ``df`` fixes the global term order. With
+    ``classes`` (``equal_classes``) only representatives are joined and scored.
+    """
+    if classes is None:
+        cands = candidates(vecs, id_col, threshold, tile_size)
+        return verify_candidates(cands, vecs, id_col, threshold, strict, block_docs)
+    reps = _representatives(vecs, classes, id_col)
+    found = sparse_cosine_pairs(reps, id_col, threshold, strict, tile_size, block_docs)
+    across = P.expand_groups(found.select(F.col("id1").alias("rep1"), F.col("id2").alias("rep2"), "value"),
+                             classes, "rep", id_col)
+    if threshold > 1 or strict and threshold >= 1:
+        return across
+    held = vecs.select(id_col).distinct()  # a bag without a vector has no pairs
+    within = P.group_self_pairs(classes.join(held, id_col, "left_semi"), ["rep"], id_col, tile_size=tile_size)
+    return across.unionByName(within.select("id1", "id2", F.lit(1.0).alias("value")))
+
+
+def cosine_links(vecs: DataFrame, classes: DataFrame, id_col: str = "doc_id", threshold: float = 0.8,
+                 strict: bool = False, tile_size: int = P.DEFAULT_TILE) -> DataFrame:
+    """Links ``(id1, id2, value)`` with the components of all qualifying pairs, without cliques of copies.
+
+    Qualifying pairs of representatives, and one link from each copy to its representative.
     """
-    prefix = prefix_entries(vecs, id_col, threshold).select(id_col, "term", "_tail")
-    # At a pair's first shared term c, x.y <= tail_x(c) * tail_y(c). Later shared
-    # terms have smaller tails, so dropping join rows whose tail product is below
-    # t keeps every true pair (through its first shared term) and removes most
-    # repeated rows of near-copies before the distinct.
-    joined = P.group_self_pairs(prefix, ["term"], id_col, ["_tail"], tile_size=tile_size)
-    cands = (joined.filter(F.col("_tail_1") * F.col("_tail_2") >= F.lit(threshold - _EPS))
-             .select("id1", "id2").distinct())
-    return verify_candidates(cands, vecs, id_col, threshold, strict, block_docs)
+    found = sparse_cosine_pairs(_representatives(vecs, classes, id_col), id_col, threshold, strict, tile_size)
+    if threshold > 1 or strict and threshold >= 1:
+        return found
+    held = vecs.select(id_col).distinct()
+    star = classes.filter(F.col("rep") != F.col(id_col)).join(held, id_col, "left_semi")
+    return found.unionByName(star.select(F.col("rep").alias("id1"), F.col(id_col).alias("id2"),
+                                         F.lit(1.0).alias("value")))
 
 
 def _dot_fn(threshold: float, strict: bool):
@@ -103,13 +156,14 @@ def verify_candidates(cands: DataFrame, vecs: DataFrame, id_col: str, threshold:
                       strict: bool = False, block_docs: int = 2048) -> DataFrame:
     """Exact cosine of candidate pairs, computed per block pair.
 
-    Documents are hashed into blocks of about ``block_docs``; each candidate
-    belongs to one block pair, and a document's vector is shipped once to each
-    block pair it has a candidate in (not once per candidate). Each block pair
-    is one cogroup: candidates plus the vectors they need, dot products in numpy.
+    Documents are hashed into as many blocks as make a block pair hold about eight
+    candidates for each of ``block_docs`` documents, so a group's vectors are at most
+    twice as many as these, whatever the corpus. A document's vector is shipped once to each block pair it
+    has a candidate in (not once per candidate). Each block pair is one cogroup:
+    candidates plus the vectors they need, dot products in numpy.
     """
-    n_blocks = F.greatest(F.lit(1), F.ceil(
-        vecs.select(F.count_distinct(id_col)).scalar() / F.lit(block_docs)))
+    cands = materialize(cands)
+    n_blocks = F.lit(max(1, math.ceil(math.sqrt(cands.count() / (4 * block_docs)))))
     blk = lambda c: F.pmod(F.xxhash64(c), n_blocks)
     c = cands.select("id1", "id2", F.least(blk("id1"), blk("id2")).alias("_lo"),
                      F.greatest(blk("id1"), blk("id2")).alias("_hi"))

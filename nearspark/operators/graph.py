@@ -5,8 +5,13 @@ Kiveris et al. (2014): every round is two aggregate + join steps over the
 edge list, the edge set shrinks to stars around each component's smallest
 id, and it converges in O(log^2 n) rounds. Each round's edges are
 checkpointed (reliable, in the shared checkpoint folder), so lineage stays
-short and a lost executor costs one round at most. The driver only reads one
-number per round (did anything change).
+short and a lost executor costs one round at most. The driver only reads
+numbers per round (edges, did anything change).
+
+A node's neighbours meet its smallest one in a join on the node. Nodes with more
+than ``1 / HUBS`` of all edge ends take no part in that join: there are at most
+``HUBS`` of them, so their minima are broadcast and their edges stay where they
+are. No join key then holds more than that share of the rows, star or not.
 """
 
 from __future__ import annotations
@@ -17,6 +22,9 @@ from pyspark.sql import functions as F
 from nearspark.operators import pairs as P
 from nearspark.session import materialize
 
+HUBS = 1024  # at most so many nodes can have more than 1 / HUBS of the rows
+LEAST_HUB = 16  # rows a node needs, at least, to be worth it
+
 
 def similarity_graph(pairs: DataFrame, nodes: DataFrame, id_col: str, threshold: float = 0.8,
                      strict: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -27,17 +35,26 @@ def similarity_graph(pairs: DataFrame, nodes: DataFrame, id_col: str, threshold:
     return nodes.select(F.col(id_col).alias("id")).distinct(), edges
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def with_least(e: DataFrame, n_rows: int) -> DataFrame:
+    """``(src, dst, _m)``: each of the ``n_rows`` rows with the smallest ``dst`` of its ``src``."""
+    least = e.groupBy("src").agg(F.min("dst").alias("_m"), F.count(F.lit(1)).alias("_n"))
+    if n_rows <= HUBS * LEAST_HUB:
+        return e.join(least.drop("_n"), "src")
+    hubs = F.broadcast(least.filter(F.col("_n") > n_rows / HUBS).select("src", F.col("_m").alias("_h")))
+    marked = e.join(hubs, "src", "left")
+    of_hubs = marked.filter(F.col("_h").isNotNull()).select("src", "dst", F.col("_h").alias("_m"))
+    return of_hubs.unionByName(marked.filter(F.col("_h").isNull()).drop("_h").join(least.drop("_n"), "src"))
+
+
+def _large_star(e: DataFrame, n_edges: int) -> DataFrame:
     both = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    mins = both.groupBy("src").agg(F.min("dst").alias("_m"))
-    return (both.join(mins, "src").filter(F.col("dst") > F.col("src"))
+    return (with_least(both, 2 * n_edges).filter(F.col("dst") > F.col("src"))
             .select(F.col("dst").alias("src"), F.least("src", "_m").alias("dst")).distinct())
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, n_edges: int) -> DataFrame:
     # e holds (larger, smaller); for each u take its smaller neighbours
-    mins = e.groupBy("src").agg(F.min("dst").alias("_m"))
-    joined = e.join(mins, "src")
+    joined = with_least(e, n_edges)
     moved = joined.select(F.when(F.col("dst") == F.col("_m"), F.col("src"))
                           .otherwise(F.col("dst")).alias("src"), F.col("_m").alias("dst"))
     return moved.distinct()
@@ -52,7 +69,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         .filter(F.col("src") != F.col("dst")).distinct()
     e = materialize(e)
     while True:
-        nxt = materialize(_small_star(_large_star(e)))
+        n_edges = e.count()
+        nxt = materialize(_small_star(_large_star(e, n_edges), n_edges))
         changed = nxt.join(e, ["src", "dst"], "left_anti").limit(1).count() + \
             e.join(nxt, ["src", "dst"], "left_anti").limit(1).count()
         e = nxt

@@ -41,11 +41,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def one_bag(spark: SparkSession, sf_dir: str, stem: bool = False) -> DataFrame:
+    """The documents' bag, for queries that read it once."""
+    return TX.bag_of_words(read(spark, sf_dir, "documents"), "doc_id", "text", stem=stem)
+
+
 def doc_bag(spark: SparkSession, sf_dir: str, stem: bool = False) -> DataFrame:
-    """The documents' bag, checkpointed: every pipeline reads it several times
+    """The documents' bag, checkpointed for pipelines that read it several times
     (corpus size, document frequencies, weights)."""
-    bag = TX.bag_of_words(read(spark, sf_dir, "documents"), "doc_id", "text", stem=stem)
-    return materialize(bag)
+    return materialize(one_bag(spark, sf_dir, stem))
 
 
 def r6(c: str):
@@ -69,13 +73,22 @@ def doc_vectors(spark, sf_dir, stem: bool = False):
 def doc_labels(spark, sf_dir, threshold: float = 0.8, stem: bool = False):
     """Components of the TF-IDF cosine graph (> threshold) over non-empty documents."""
     bag, vecs = doc_vectors(spark, sf_dir, stem)
-    vecs = materialize(vecs)
-    pairs = CS.sparse_cosine_pairs(vecs, "doc_id", threshold, strict=True)
-    nodes, edges = GR.similarity_graph(pairs, bag.select("doc_id").distinct(), "doc_id",
-                                       threshold, strict=True)
+    return labels_of(bag, vecs, "doc_id", threshold)
+
+
+def labels_of(bag, vecs, id_col: str, threshold: float = 0.8):
+    """Components over links: equal bags hang on one of them, so no clique of copies is written."""
+    classes = materialize(CS.equal_classes(bag, id_col))
+    links = CS.cosine_links(materialize(vecs), classes, id_col, threshold, strict=True)
+    nodes, edges = GR.similarity_graph(links, classes, id_col, threshold, strict=True)
     return GR.connected_components(nodes, edges)
 
 
+def cosine_pairs(bag, vecs, id_col: str, threshold: float = 0.8, strict: bool = False):
+    classes = materialize(CS.equal_classes(bag, id_col))
+    return CS.sparse_cosine_pairs(materialize(vecs), id_col, threshold, strict, classes=classes)
+
+
 # ---------------------------------------------------------- text and bags ---
 
 @register("clean_text", O.clean_text_sql())
@@ -93,19 +106,19 @@ def tokens(spark, sf_dir):
 
 @register("bag_of_words", O.bag_sql())
 def bag_of_words(spark, sf_dir):
-    return doc_bag(spark, sf_dir)
+    return one_bag(spark, sf_dir)
 
 
 @register("nonempty_docs", f"WITH {O.doc_bag_cte()} SELECT DISTINCT id AS doc_id FROM bag")
 def nonempty_docs(spark, sf_dir):
-    return doc_bag(spark, sf_dir).select("doc_id").distinct()
+    return one_bag(spark, sf_dir).select("doc_id").distinct()
 
 
 @register("flatten_bag", f"""WITH {O.doc_bag_cte()}
 SELECT id AS doc_id, term || k::VARCHAR AS feature
 FROM (SELECT id, term, unnest(range(1, tf + 1)) AS k FROM bag)""")
 def flatten_bag(spark, sf_dir):
-    return TX.flatten_bag(doc_bag(spark, sf_dir), "doc_id")
+    return TX.flatten_bag(one_bag(spark, sf_dir), "doc_id")
 
 
 @register("idf_raw", f"""WITH {O.doc_bag_cte()}, {O.idf_raw_cte()}
@@ -132,7 +145,7 @@ def tfidf_l2(spark, sf_dir):
 SELECT id AS doc_id, term || k::VARCHAR AS feature, {O.md5_mod_sql("term || k::VARCHAR")} AS x
 FROM (SELECT id, term, unnest(range(1, tf + 1)) AS k FROM bag)""")
 def feature_hash(spark, sf_dir):
-    f = TX.flatten_bag(doc_bag(spark, sf_dir), "doc_id")
+    f = TX.flatten_bag(one_bag(spark, sf_dir), "doc_id")
     return f.select("doc_id", "feature", md5_mod(F.col("feature")).alias("x"))
 
 
@@ -204,8 +217,7 @@ def simhash_pairs_32(spark, sf_dir):
 @register("tfidf_cosine_pairs", f"""WITH {O.doc_bag_cte()}, {O.tfidf_l2_cte()}, {O.cosine_pairs_cte(0.8, False)}
 SELECT id1, id2, round(value, 6) AS value FROM edges""")
 def tfidf_cosine_pairs(spark, sf_dir):
-    _bag, vecs = doc_vectors(spark, sf_dir)
-    return CS.sparse_cosine_pairs(materialize(vecs), "doc_id", 0.8).select("id1", "id2", r6("value"))
+    return cosine_pairs(*doc_vectors(spark, sf_dir), "doc_id").select("id1", "id2", r6("value"))
 
 
 @register("lsa_pairs", f"""WITH {O.doc_bag_cte()}, {O.tfidf_l2_cte()}, {O.cosine_pairs_cte(0.8, False)}
@@ -221,7 +233,7 @@ def lsa_pairs(spark, sf_dir):
 SELECT id1 AS src, id2 AS dst, round(value, 6) AS weight FROM edges""")
 def similarity_graph(spark, sf_dir):
     bag, vecs = doc_vectors(spark, sf_dir)
-    pairs = CS.sparse_cosine_pairs(materialize(vecs), "doc_id", 0.8, strict=True)
+    pairs = cosine_pairs(bag, vecs, "doc_id", strict=True)
     _nodes, edges = GR.similarity_graph(pairs, bag, "doc_id", 0.8)
     return edges.select("src", "dst", r6("weight"))
 
@@ -341,10 +353,7 @@ def page_simhash_pairs(spark, sf_dir):
 SELECT id AS url, component FROM comps""")
 def page_labels(spark, sf_dir):
     bag = page_bag(spark, sf_dir)
-    vecs = materialize(WT.tfidf_l2(bag, "url"))
-    pairs = CS.sparse_cosine_pairs(vecs, "url", 0.8, strict=True)
-    nodes, edges = GR.similarity_graph(pairs, bag.select("url").distinct(), "url", 0.8)
-    return GR.connected_components(nodes, edges).withColumnRenamed("id", "url")
+    return labels_of(bag, WT.tfidf_l2(bag, "url"), "url").withColumnRenamed("id", "url")
 
 
 # ----------------------------------------------------------------- ingest ---
@@ -534,7 +543,7 @@ def embedding_cosine_pairs(spark, sf_dir):
 
 @register("stem_vocab", None)
 def stem_vocab(spark, sf_dir):
-    vocab = doc_bag(spark, sf_dir).select("term").distinct()
+    vocab = one_bag(spark, sf_dir).select("term").distinct()
     return vocab.select("term", TX.stem_column(F.col("term")).alias("stem"))
 
 
@@ -552,7 +561,7 @@ def simhash_pairs_murmur(spark, sf_dir):
 
 @register("term_hash_murmur", None)
 def term_hash_murmur(spark, sf_dir):
-    vocab = doc_bag(spark, sf_dir).select("term").distinct()
+    vocab = one_bag(spark, sf_dir).select("term").distinct()
     return vocab.select("term", term_hash32(F.col("term"), "murmur3").alias("h"))
 
 
