@@ -55,6 +55,7 @@ GROUPS = 128  # counters of a sketch
 HUB_ROUNDS = 1
 TILE = 1024  # members of a bucket compared with one another at a time
 PAIRS_HELD = 1_000_000
+MEMBERS_HELD = 100_000
 BROADCAST_ROWS = 200_000  # of two longs
 
 
@@ -354,54 +355,83 @@ def _plausible(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFra
     return near.mapInArrow(run, "a long, b long")
 
 
-class _DistinctPairs:
-    """Distinct pairs of a task's buckets, which share most of theirs; handed on when ``PAIRS_HELD`` are held."""
-
-    def __init__(self):
-        self.fresh, self.n, self.held = [], 0, np.zeros((2, 0), np.int64)
-
-    def add(self, a: np.ndarray, b: np.ndarray):
-        self.fresh.append(np.vstack([np.minimum(a, b), np.maximum(a, b)]))
-        self.n += len(a)
-        if self.n >= PAIRS_HELD:
-            self._merge()
-            if self.held.shape[1] >= PAIRS_HELD // 2:
+class _PlausiblePairs:
+    """Distinct pairs of a task's tiles, which share most of theirs, tested by their sketches once.
+
+    Handed on when ``PAIRS_HELD`` pairs or ``MEMBERS_HELD`` members are held.
+    """
+
+    def __init__(self, similarity: int):
+        self.similarity = similarity
+        self.pairs, self.n_pairs, self.members, self.n_members = [], 0, [], 0
+
+    def add(self, cls: np.ndarray, n: np.ndarray, sk: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]):
+        self.members.append((cls, n, sk))
+        self.n_members += len(cls)
+        if a:
+            a, b = np.concatenate(a), np.concatenate(b)
+            self.pairs.append(np.vstack([np.minimum(a, b), np.maximum(a, b)]))
+            self.n_pairs += len(a)
+        if self.n_pairs >= PAIRS_HELD:
+            self.pairs = [self._distinct()]
+            self.n_pairs = self.pairs[0].shape[1]
+        if self.n_pairs >= PAIRS_HELD // 2 or self.n_members >= MEMBERS_HELD:
+            cls, n, sk = self._merged()
+            if self.n_pairs >= PAIRS_HELD // 2 or len(cls) >= MEMBERS_HELD // 2:
                 yield self.flush()
+            else:
+                self.members, self.n_members = [(cls, n, sk)], len(cls)
 
-    def _merge(self) -> None:
-        x = np.hstack([self.held, *self.fresh])
+    def _distinct(self) -> np.ndarray:
+        x = np.hstack(self.pairs)
         x = x[:, np.lexsort(x[::-1])]
         new = np.ones(x.shape[1], bool)
         new[1:] = (x[:, 1:] != x[:, :-1]).any(axis=0)
-        self.held, self.fresh, self.n = x[:, new], [], 0
+        return x[:, new]
+
+    def _merged(self):
+        cls = np.concatenate([m[0] for m in self.members])
+        cls, one = np.unique(cls, return_index=True)
+        return cls, np.concatenate([m[1] for m in self.members])[one], np.vstack([m[2] for m in self.members])[one]
 
     def flush(self) -> pa.RecordBatch:
-        self._merge()
-        out = pa.RecordBatch.from_arrays([pa.array(self.held[0]), pa.array(self.held[1])], names=["a", "b"])
-        self.held = np.zeros((2, 0), np.int64)
-        return out
+        a = b = np.zeros(0, np.int64)
+        if self.pairs:
+            cls, n, sk = self._merged()
+            a, b = self._distinct()
+            x, y = np.searchsorted(cls, a), np.searchsorted(cls, b)
+            ok = np.zeros(len(a), bool)
+            for i in range(0, len(a), 50_000):
+                o = slice(i, i + 50_000)
+                ok[o] = may_link(n[x[o]], sk[x[o]], n[y[o]], sk[y[o]], self.similarity)
+            a, b = a[ok], b[ok]
+        self.pairs, self.n_pairs, self.members, self.n_members = [], 0, [], 0
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _cross_pairs(similarity: int):
-    """Pairs of a tile's members of different components whose sizes allow a link, by size."""
+    """Plausible pairs of a tile's members of different components; partners by size."""
     def run(batches):
-        pairs = _DistinctPairs()
+        pairs = _PlausiblePairs(similarity)
         for batch in batches:
             tiles = zip(batch.column("_lo").to_pylist(), batch.column("_hi").to_pylist(), batch.column("members"))
             for lo, hi, members in tiles:
                 flat = members.values
                 cls, comp, n, tile = (flat.field(f).to_numpy() for f in ("cls", "comp", "n", "_t"))
                 order = np.argsort(n, kind="stable")
+                sk = _rows_of(flat.field("sk"))[order]
                 cls, comp, n, tile = cls[order], comp[order], n[order], tile[order]
                 to = np.searchsorted(n, 100 * n.astype(np.int64) // similarity, side="right")
+                left, right = [], []
                 for i in range(len(cls) - 1):
                     o = slice(i + 1, to[i])
                     ok = comp[o] != comp[i]
                     if lo != hi:  # pairs within a tile are met where both tiles are the same
                         ok &= tile[o] != tile[i]
                     other = cls[o][ok]
-                    if len(other):
-                        yield from pairs.add(np.full(len(other), cls[i]), other)
+                    left.append(np.full(len(other), cls[i]))
+                    right.append(other)
+                yield from pairs.add(cls, n, sk, left, right)
         yield pairs.flush()
     return run
 
@@ -460,12 +490,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         comps = _components(edges)
     # What is left: every plausible pair of a bucket across components, in tiles of a bucket. Tiles
     # with the same smallest member share most pairs, and meet in a task that hands on each pair once.
-    sized = _mixed_buckets(buckets, comps).join(classes.select("cls", "n"), "cls")
-    tiles = (tile_keys(sized, ["bucket"], "cls", ["comp", "n"], TILE).groupBy("bucket", "_lo", "_hi")
-             .agg(F.collect_list(F.struct("cls", "comp", "n", "_t")).alias("members"), F.min("cls").alias("_least")))
-    rest = (tiles.repartition("_least").select("_lo", "_hi", "members")
+    sized = _mixed_buckets(buckets, comps).join(classes.select("cls", "n", "sk"), "cls")
+    tiles = (tile_keys(sized, ["bucket"], "cls", ["comp", "n", "sk"], TILE).groupBy("bucket", "_lo", "_hi")
+             .agg(F.collect_list(F.struct("cls", "comp", "n", "_t", "sk")).alias("members"), F.min("cls").alias("_least")))
+    rest = (tiles.repartition("_least", F.pmod("bucket", F.lit(4))).select("_lo", "_hi", "members")
             .mapInArrow(_cross_pairs(similarity), "a long, b long").distinct())
-    rest = stage(_plausible(rest.join(pairs, ["a", "b"], "left_anti"), classes, similarity), "op9-rest")
+    rest = stage(rest.join(pairs, ["a", "b"], "left_anti"), "op9-rest")
     new = stage(_verify(rest, _sets_for(rest, classes, docs, k), similarity), "op9-edges")
     if not new.isEmpty():
         comps = _components(edges.union(new))
