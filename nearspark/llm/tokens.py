@@ -16,6 +16,7 @@ Spark keeps a Python worker for its next one; only the tokenizer itself stays.
 
 from __future__ import annotations
 
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -74,6 +75,7 @@ def pieces_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 @lru_cache(maxsize=1)
 def _tokenizer(path: str):
     """One per worker process: what a tokenizer holds is not given back when it goes."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already runs a task on each core
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
