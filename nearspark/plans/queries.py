@@ -616,6 +616,23 @@ def lsa_variance(spark, sf_dir):
     return var.select("component", r6("explained_variance_ratio"))
 
 
+@register("lsa_certificate", f"""WITH {O.doc_bag_cte()}, {O.tfidf_l2_cte()}
+SELECT count(DISTINCT id) AS n_docs, count(DISTINCT term) AS n_terms, round(sum(w * w), 6) AS frobenius2,
+       round(sum(w * w), 6) AS captured_and_residual, TRUE AS projects, TRUE AS u_orthonormal, TRUE AS v_orthonormal,
+       TRUE AS values_fall
+FROM vec""")
+def lsa_certificate(spark, sf_dir):
+    """Proof of a 32-component SVD: what it captures and what it leaves add up to the matrix's squared norm,
+    its factors are orthonormal, and the matrix's projection on them is what their values say."""
+    _bag, vecs = doc_vectors(spark, sf_dir)
+    c = LS.lsa_certificate(vecs, "doc_id", n_components=32, n_iter=2)
+    near = F.abs(F.col("projected") - F.col("captured")) < F.lit(1e-9) * F.col("frobenius2")
+    return c.select("n_docs", "n_terms", r6("frobenius2"),
+                    F.round(F.col("captured") + F.col("residual2"), 6).alias("captured_and_residual"),
+                    near.alias("projects"), (F.col("u_error") < 1e-9).alias("u_orthonormal"),
+                    (F.col("v_error") < 1e-9).alias("v_orthonormal"), "values_fall")
+
+
 @register("lsa_pairs_svd", f"""WITH {O.page_bag_cte(False)}, {O.tfidf_l2_cte()}, {O.cosine_pairs_cte(0.8, False)}
 SELECT id1, id2, round(value, 4) AS value FROM edges""")
 def lsa_pairs_svd(spark, sf_dir):
