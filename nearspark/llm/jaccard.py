@@ -215,7 +215,7 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
 
 def _index(k: int, similarity: int, parts: int):
-    """Index rows of each batch, dealt by signature: one row per batch and part."""
+    """Index rows of each slice, dealt by signature: one row per slice and part, owners as runs."""
     def run(batches):
         for batch in batches:
             seen: set[int] = set()
@@ -238,21 +238,25 @@ def _index(k: int, similarity: int, parts: int):
                     own.append(np.full(len(got), c, np.uint64))
                 sig, own = np.concatenate(sig), np.concatenate(own)
                 part = ((sig >> _U(32)) * _U(parts) >> _U(32)).astype(np.int32)
-                order = np.argsort(part, kind="stable")
+                order = np.lexsort((own, part))
                 sig, own, part = T.signed(sig[order]), T.signed(own[order]), part[order]
-                cut = np.flatnonzero(np.diff(part)) + 1
-                offs = pa.array(np.concatenate([[0], cut, [len(part)]]).astype(np.int32))
+                cut = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1])
+                one = np.concatenate([[0], np.flatnonzero((np.diff(part) != 0) | (np.diff(own) != 0)) + 1])
+                offs = pa.array(np.append(cut, len(part)).astype(np.int32))
+                owned = pa.array(np.append(np.searchsorted(one, cut), len(one)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part[np.concatenate([[0], cut])]),
-                     pa.ListArray.from_arrays(offs, pa.array(sig)),
-                     pa.ListArray.from_arrays(offs, pa.array(own))], names=["part", "sigs", "owners"])
+                    [pa.array(part[cut]), pa.ListArray.from_arrays(offs, pa.array(sig)),
+                     pa.ListArray.from_arrays(owned, pa.array(own[one])),
+                     pa.ListArray.from_arrays(owned, pa.array(np.diff(one, append=len(part)).astype(np.int32)))],
+                    names=["part", "sigs", "owners", "runs"])
     return run
 
 
 def _buckets(table: pa.Table) -> pa.Table:
     """Member lists of the signatures that at least two classes share; equal lists once."""
     sig = table.column("sigs").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    own = table.column("owners").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    own = np.repeat(*(table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+                      for c in ("owners", "runs")))
     order = np.argsort(sig, kind="stable")
     sig, own = sig[order], own[order]
     same = np.zeros(len(sig), bool)
@@ -462,7 +466,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sk").alias("sk")), "op9-classes")
 
     indexed = docs.select("text").mapInArrow(
-        _index(k, similarity, parts), "part int, sigs array<long>, owners array<long>")
+        _index(k, similarity, parts), "part int, sigs array<long>, owners array<long>, runs array<int>")
     buckets = indexed.groupBy("part").applyInArrow(_buckets, "bucket long, members array<long>")
     hub = "array_min(transform(members, c -> named_struct('o', xxhash64(c, pmod(bucket, 2)), 'c', c))).c"
     buckets = stage(buckets.groupBy("bucket").agg(F.first("members").alias("members")).withColumn("hub", F.expr(hub)),
