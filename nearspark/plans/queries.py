@@ -600,6 +600,18 @@ def stream_lsh_probe(spark, sf_dir):
     return spark.read.parquet(f"{base}/out").drop("epoch")
 
 
+@register("stream_lsh_grow", QUERIES["minhash_pairs"][1])
+def stream_lsh_grow(spark, sf_dir):
+    """Stream the documents in four micro-batches through a store that starts empty and grows by each:
+    pairs across batches are found as well, so the sink holds what one batch over all would give."""
+    from nearspark.streaming import lsh_store as ST
+    base = shared_path(spark, "grow")
+    read(spark, sf_dir, "documents").select("doc_id", "text").repartition(4, "doc_id").write.parquet(f"{base}/in")
+    q = ST.start_stream(spark, f"{base}/in", f"{base}/store", f"{base}/out", f"{base}/ckpt", max_files_per_trigger=1)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("id1", "id2", r6("value"))
+
+
 @register("lsa_topics", None)
 def lsa_topics(spark, sf_dir):
     """Topic-word matrix (V^T) of a 16-component LSA, long form."""
