@@ -7,6 +7,8 @@ oracles use brute force. Floats are rounded to 6 places on both sides.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,9 @@ from nearspark.operators import pairs as PR
 from nearspark.operators import simhash as SH
 from nearspark.operators import text as TX
 from nearspark.operators import weights as WT
+from nearspark.operators.counts import StageCounts, rows
 from nearspark.plans import oracle_sql as O
+from nearspark.plans import workflow as WF
 from nearspark.session import materialize, shared_path
 from nearspark.sources import index as IX
 from nearspark.sources import pages as PG
@@ -401,6 +405,18 @@ def index_scan(spark, sf_dir):
     return IX.parse_index_lines(index_lines(spark, sf_dir))
 
 
+@register("index_file_scan", f"""WITH {_IDX_SQL}
+SELECT {_IDX_COLS}, NULL AS corrupt FROM idx
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'no json ' || page_id FROM pages WHERE contains(url, '?')""")
+def index_file_scan(spark, sf_dir):
+    """Index files of JSON lines on shared storage, some lines corrupt, read with the fixed schema."""
+    path = shared_path(spark, "index")
+    bad = read(spark, sf_dir, "pages").filter(F.contains(F.col("url"), F.lit("?"))).select(
+        F.concat(F.lit("no json "), F.col("page_id").cast("string")).alias("line"))
+    index_lines(spark, sf_dir).unionByName(bad).select(F.col("line").alias("value")).write.text(path)
+    return IX.read_index(spark, path, corrupt_col="corrupt")
+
+
 @register("index_filter", f"""WITH {_IDX_SQL} SELECT {_IDX_COLS} FROM idx
 WHERE starts_with(url, 'https') AND mime = 'text/html' AND status = '200'
   AND languages = 'eng' AND encoding = 'UTF-8'""")
@@ -477,11 +493,64 @@ def warc_pages(spark, sf_dir):
     return PG.dedupe_urls(good.select("url", "html", "filename", "offset")).select("url", "html")
 
 
-@register("warc_skips", None)
+@register("warc_skips", """SELECT 2 * count(*) AS planned, count_if(page_id % 7 <> 0) AS pages,
+  count_if(page_id % 7 = 0) AS skipped FROM pages""")
 def warc_skips(spark, sf_dir):
-    """Planned records, pages read and records skipped with every 7th response corrupt."""
-    plan, fetched = _warc_roundtrip(spark, sf_dir, broken_every=7)
-    return WA.fetch_summary(fetched, plan)
+    """Planned records, pages read and records skipped, where the response of every 7th page id is corrupt;
+    counted while the pages are written, without a second fetch."""
+    counts = StageCounts()
+    pages = read(spark, sf_dir, "pages").withColumn("broken", F.col("page_id") % 7 == 0)
+    index = counts.taken(WA.write_warc(pages, shared_path(spark, "warc"), broken_col="broken"), planned=rows())
+    counts.taken(WA.fetch_records(IX.byte_ranges(index)), pages=F.count("url"), skipped=F.count("error"))
+    n = counts.numbers
+    return spark.createDataFrame([(n["planned"], n["pages"], n["skipped"])], "planned long, pages long, skipped long")
+
+
+@register("saved_pairs", _eval_sql(O.minhash_res_cte()))
+def saved_pairs(spark, sf_dir):
+    """Stored pairs, bucketed and sorted by their first id, read back and evaluated."""
+    comps = doc_labels(spark, sf_dir)
+    table = "pairs_" + uuid.uuid4().hex
+    PG.save_pairs(MH.minhash_pairs(doc_bag(spark, sf_dir), "doc_id"), shared_path(spark, "pairs"), table=table)
+    return _eval_out(EV.evaluate(PG.load_pairs(spark, table=table), comps))
+
+
+def _eval_pages(spark, sf_dir, method: str, **options):
+    bag = WF.page_bag(read(spark, sf_dir, "pages"), method)
+    return _eval_out(WF.run(bag, method, "url", shared_path(spark, f"run-{method}"), **options))
+
+
+_PAGE_LABELS = f"{O.page_bag_cte(False)}, {O.tfidf_l2_cte()}, {O.cosine_pairs_cte(0.8, True)}, {O.components_cte()}"
+
+
+@register("eval_pages_minhash", _eval_sql(O.minhash_res_cte()).replace(LABEL_CTES, _PAGE_LABELS))
+def eval_pages_minhash(spark, sf_dir):
+    """Pages end to end by method name: bag, detect, rank, save, label, evaluate."""
+    return _eval_pages(spark, sf_dir, "minhash_lsh")
+
+
+@register("eval_pages_lsa", _eval_sql("res AS (SELECT id1, id2, value FROM cos WHERE value >= 0.8)")
+          .replace(LABEL_CTES, _PAGE_LABELS))
+def eval_pages_lsa(spark, sf_dir):
+    """The same with LSA over all components."""
+    return _eval_pages(spark, sf_dir, "latent_semantic", cosine_threshold=0.8, all_components=True)
+
+
+@register("stage_counts_all", f"""WITH RECURSIVE {LABEL_CTES}, {O.minhash_res_cte()}
+SELECT 'bag_rows' AS stage, count(*) AS n FROM bag
+UNION ALL SELECT 'features', sum(tf)::BIGINT FROM bag
+UNION ALL SELECT 'signatures', count(DISTINCT id) FROM bag
+UNION ALL SELECT 'index_entries', 16 * count(DISTINCT id) FROM bag
+UNION ALL SELECT 'pairs', count(*) FROM res
+UNION ALL SELECT 'label_nodes', count(*) FROM comps
+UNION ALL SELECT 'components', count(DISTINCT component) FROM comps
+UNION ALL SELECT 'labels', (sum(m * (m - 1)) // 2)::BIGINT
+          FROM (SELECT count(*) AS m FROM comps GROUP BY component)""")
+def stage_counts_all(spark, sf_dir):
+    """Sizes of all stages of a MinHash run over the documents, taken while the stages run."""
+    counts = StageCounts()
+    WF.run(one_bag(spark, sf_dir), "minhash_lsh", "doc_id", shared_path(spark, "run-counts"), counts=counts)
+    return counts.frame(spark)
 
 
 @register("page_scan", "SELECT url, html FROM pages")

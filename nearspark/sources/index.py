@@ -15,9 +15,16 @@ INDEX_FIELDS = ("url", "mime", "status", "languages", "encoding", "filename", "o
 INDEX_SCHEMA = T.StructType([T.StructField(f, T.StringType(), True) for f in INDEX_FIELDS])
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Scan index files (JSON lines) with the fixed all-string schema."""
-    return spark.read.schema(INDEX_SCHEMA).json(path)
+def read_index(spark: SparkSession, path: str, corrupt_col: str | None = None) -> DataFrame:
+    """Scan index files (JSON lines) with the fixed all-string schema.
+
+    A line that is no JSON object gives a row of nulls; ``corrupt_col`` names a
+    further column that holds such lines as they are.
+    """
+    if corrupt_col is None:
+        return spark.read.schema(INDEX_SCHEMA).json(path)
+    schema = T.StructType([*INDEX_SCHEMA.fields, T.StructField(corrupt_col, T.StringType(), True)])
+    return spark.read.schema(schema).option("columnNameOfCorruptRecord", corrupt_col).json(path)
 
 
 def parse_index_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:

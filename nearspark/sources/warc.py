@@ -2,23 +2,23 @@
 
 Reading follows the index: each record is one gzip member at
 ``(filename, offset, length)``, so executors read exactly that range and
-decode one record; no task ever holds a whole WARC file. Records whose type
-is not ``response`` yield nothing; any failure yields an ``error`` row and the
-job carries on.
+decode one record; no task ever holds a whole WARC file. Ranges that follow one
+another in a file are read together, up to ``READ_BYTES``. Files are paths or URIs
+of any file system that Arrow knows. Records whose type is not ``response`` yield
+nothing; any failure yields an ``error`` row and the job carries on.
 """
 
 from __future__ import annotations
 
 import gzip
-import os
 import zlib
 
 import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearspark.session import local_path
-
+READ_BYTES = 8 << 20
 OUT_SCHEMA = "url string, html string, filename string, offset bigint, error string"
 
 
@@ -37,32 +37,32 @@ def _http_response(html: str) -> bytes:
 
 
 def write_warc(pages: DataFrame, out_dir: str, url_col: str = "url", html_col: str = "html",
-               with_requests: bool = True, broken_every: int = 0) -> DataFrame:
+               with_requests: bool = True, broken_every: int = 0, broken_col: str | None = None) -> DataFrame:
     """Write pages as ``.warc.gz`` files (one per partition, one gzip member per
     record) and return the index rows ``(url, filename, offset, length, rec_type)``.
 
     ``with_requests`` adds a request record before each response;
-    ``broken_every`` > 0 writes a record with a corrupt header every n pages.
-    File names depend only on the partition, so a retried task rewrites the
-    same file.
+    ``broken_every`` > 0 writes a record with a corrupt header every n pages of a
+    partition, ``broken_col`` (boolean) one for each page that it marks. File names
+    depend only on the partition, so a retried task rewrites the same file.
     """
-    out_dir = local_path(out_dir)
-
     def run(batches):
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
-        name = os.path.join(out_dir, f"part-{pid:05d}.warc.gz")
+        name = f"{out_dir.rstrip('/')}/part-{pid:05d}.warc.gz"
         rows = []
-        with open(name, "wb") as fh:
+        store, place = pafs.FileSystem.from_uri(name)
+        store.create_dir(place.rpartition("/")[0])
+        with store.open_output_stream(place, compression=None) as fh:
             n = 0
             for pdf in batches:
-                for url, html in zip(pdf[url_col], pdf[html_col]):
+                for url, html, broken in zip(pdf[url_col], pdf[html_col], pdf["_broken"]):
                     recs = []
                     if with_requests:
                         recs.append(("request", _record("request", url, b"GET / HTTP/1.1\r\n\r\n",
                                                         f"{pid}-{n}-q")))
                     rec = _record("response", url, _http_response(html or ""), f"{pid}-{n}-r")
-                    if broken_every and n % broken_every == broken_every - 1:
+                    if broken or broken_every and n % broken_every == broken_every - 1:
                         rec = rec.replace(b"Content-Length:", b"Content-Lenght:", 1)
                     recs.append(("response", rec))
                     for rec_type, raw in recs:
@@ -73,8 +73,8 @@ def write_warc(pages: DataFrame, out_dir: str, url_col: str = "url", html_col: s
                     n += 1
         yield pd.DataFrame(rows, columns=["url", "filename", "offset", "length", "rec_type"])
 
-    os.makedirs(out_dir, exist_ok=True)
-    return pages.select(url_col, html_col).mapInPandas(
+    marked = F.coalesce(F.col(broken_col), F.lit(False)) if broken_col else F.lit(False)
+    return pages.select(url_col, html_col, marked.alias("_broken")).mapInPandas(
         run, "url string, filename string, offset string, length string, rec_type string")
 
 
@@ -146,19 +146,48 @@ def fetch_records(plan: DataFrame) -> DataFrame:
     def run(batches):
         for pdf in batches:
             out = []
-            for fn, start, end in zip(pdf["filename"], pdf["start"], pdf["end"]):
-                try:
-                    with open(fn, "rb") as fh:
-                        fh.seek(int(start))
-                        raw = gzip.decompress(fh.read(int(end) - int(start) + 1))
-                    rec_type, url, html = _parse_record(raw)
-                    if rec_type == "response":
-                        out.append((url, html, fn, int(start), None))
-                except Exception as e:  # noqa: BLE001 - counted, never fatal
-                    out.append((None, None, fn, int(start), f"{type(e).__name__}: {e}"))
+            for fn, ranges in _adjacent(zip(pdf["filename"], pdf["start"], pdf["end"])):
+                for start, member in _read_ranges(fn, ranges):
+                    try:
+                        if isinstance(member, Exception):
+                            raise member
+                        rec_type, url, html = _parse_record(gzip.decompress(member))
+                        if rec_type == "response":
+                            out.append((url, html, fn, int(start), None))
+                    except Exception as e:  # noqa: BLE001 - counted, never fatal
+                        out.append((None, None, fn, None if pd.isna(start) else int(start), f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["url", "html", "filename", "offset", "error"])
 
-    return plan.select("filename", "start", "end").mapInPandas(run, OUT_SCHEMA)
+    ordered = plan.select("filename", "start", "end").repartitionByRange("filename", "start")
+    return ordered.sortWithinPartitions("filename", "start").mapInPandas(run, OUT_SCHEMA)
+
+
+def _adjacent(plan):
+    """``(filename, ranges)``: consecutive records that lie next to one another, ``READ_BYTES`` at most."""
+    name, ranges = None, []
+    for fn, start, end in plan:
+        joins = ranges and fn == name and start == ranges[-1][1] + 1 and end - ranges[0][0] < READ_BYTES
+        if not joins:
+            if ranges:
+                yield name, ranges
+            name, ranges = fn, []
+        ranges.append((start, end))
+    if ranges:
+        yield name, ranges
+
+
+def _read_ranges(name: str, ranges: list[tuple]):
+    """``(start, bytes or the error)`` of each range, by one read."""
+    try:
+        first, last = int(ranges[0][0]), int(ranges[-1][1])
+        store, place = pafs.FileSystem.from_uri(name)
+        with store.open_input_file(place) as fh:
+            raw = fh.read_at(last - first + 1, first)
+    except Exception as e:  # noqa: BLE001 - each record is reported
+        yield from ((start, e) for start, _ in ranges)
+        return
+    for start, end in ranges:
+        yield start, raw[int(start) - first:int(end) - first + 1]
 
 
 def fetch_summary(fetched: DataFrame, planned: DataFrame) -> DataFrame:
