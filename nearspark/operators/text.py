@@ -1,7 +1,9 @@
 """Text preparation: pages/documents -> long-form bags of words ``(id, term, tf)``.
 
-Plan shape: documents are hash-partitioned by id once, so tokenising, counting
-and every later per-document aggregate run without another exchange. Cleaning,
+Plan shape: texts are hash-partitioned by id once, so tokenising, counting and
+every later per-document aggregate run without another exchange. (A text is
+smaller than its bag as rows, so the text is what moves; of pages it is the
+extracted text.) Cleaning,
 splitting and stop-word removal are JVM expressions; stop words are an
 ``InSet`` (hash lookup). Only HTML field extraction and stemming use Python:
 field extraction per page (Arrow batches), stemming once per *distinct* term.
@@ -92,11 +94,19 @@ def stem_column(c: Column) -> Column:
 def page_bags(pages: DataFrame, id_col: str = "url", html_col: str = "html",
               weight: bool = False, stopwords=None, stem: bool = False,
               partitions: int | None = None) -> DataFrame:
-    """HTML pages -> long-form bag (field extraction, weighting, tokens, counts)."""
-    pages = pages.select(id_col, html_col)
-    pages = pages.repartition(partitions, id_col) if partitions else pages.repartition(id_col)
-    text = page_text(pages, id_col, html_col, weight)
-    return bag_of_words(text, id_col, "text", stopwords, stem, prepartition=False)
+    """HTML pages -> long-form bag (field extraction, weighting, tokens, counts).
+
+    Fields are extracted where the pages are scanned; the extracted text, not the
+    html, is dealt by id, by one exchange that the counts and later sums use too.
+    """
+    text = page_text(_on_all_cores(pages.select(id_col, html_col)), id_col, html_col, weight)
+    return bag_of_words(text, id_col, "text", stopwords, stem, partitions)
+
+
+def _on_all_cores(df: DataFrame) -> DataFrame:
+    """``df`` spread over the cores where its scan has fewer parts than there are (small tables only)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def flatten_bag(bag: DataFrame, id_col: str = "doc_id") -> DataFrame:

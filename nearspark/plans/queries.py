@@ -606,6 +606,35 @@ def embedding_cosine_pairs(spark, sf_dir):
     return CS.dense_cosine_pairs(vec, "vec_id", "embedding", 0.5).select("id1", "id2", r6("value"))
 
 
+@register("cosine_dense", """WITH e AS (
+  SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings)
+SELECT a.vec_id AS id1, b.vec_id AS id2,
+       round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS value
+FROM e a JOIN e b ON b.vec_id = a.vec_id + 1
+WHERE list_dot_product(a.v, a.v) > 0 AND list_dot_product(b.v, b.v) > 0""")
+def cosine_dense(spark, sf_dir):
+    """Cosine of each vector with the one of the next id, as a column expression."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("id2"), F.col("v").alias("v2"))
+    value = CS.dense_cosine(F.col("v"), F.col("v2")).alias("value")
+    pairs = e.join(nxt, "vec_id").select(F.col("vec_id").alias("id1"), "id2", value)
+    return pairs.filter("value IS NOT NULL").select("id1", "id2", r6("value"))
+
+
+@register("image_text", """SELECT url, trim('words ' || (page_id * 7)::VARCHAR || ' ' || regexp_extract(url, '/([a-z]{2})/', 1)) AS light,
+  'head' AS heavy FROM pages""")
+def image_text(spark, sf_dir):
+    """Text that stands for images: alt text in the body counts, in a heading it is lost, and an image without one gives nothing."""
+    lang = F.regexp_extract("url", r"/([a-z]{2})/", 1)
+    html = F.concat(F.lit("<html><body><h1>head <img src='x.png' alt='"), F.col("page_id").cast("string"), F.lit("'></h1><p>words <img alt='"),
+                    (F.col("page_id") * 7).cast("string"), F.lit("' src='y.png'> "), lang, F.lit("<img src='z.png'></p></body></html>"))
+    f = TX.extract_fields(read(spark, sf_dir, "pages").select("url", html.alias("html")))
+
+    def one_space(c):
+        return F.trim(F.regexp_replace(F.col(c), r"\s+", " ")).alias(c)
+    return f.select("url", one_space("light"), one_space("heavy"))
+
+
 # -------------------------------------- reference defaults without oracle ---
 # Porter stemming and Murmur3 have no DuckDB counterpart; these run the
 # reference's default settings and are checked by unit tests instead.
