@@ -39,7 +39,6 @@ import math
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +50,7 @@ from nearspark.operators.pairs import tile_keys
 
 _U = np.uint64
 FILTER_BITS = 24  # 2 MiB as packed bits, whatever the corpus
-GROUPS = 128  # counters of a sketch
+GROUPS = 512  # counters of a sketch: few of its shingles share one, so near misses are told apart
 HUB_ROUNDS = 1
 TILE = 1024  # members of a bucket compared with one another at a time
 PAIRS_HELD = 1_000_000
@@ -180,7 +179,7 @@ def _sets(batch: pa.RecordBatch, k: int):
 def sketch(distinct: np.ndarray) -> bytes:
     """Shingles per hash group, cut at 255. The L1 distance of two sketches never
     exceeds the symmetric difference of the sets."""
-    counts = np.bincount((T.mix(distinct) >> _U(57)).astype(np.int64), minlength=GROUPS)
+    counts = np.bincount((T.mix(distinct) >> _U(65 - GROUPS.bit_length())).astype(np.int64), minlength=GROUPS)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
@@ -294,15 +293,16 @@ def _packed_filter(ids: DataFrame, col: str) -> np.ndarray:
 
 
 def _pass_filter(docs: DataFrame, col: str, words: np.ndarray) -> DataFrame:
-    """Rows whose id may be in the filter (JVM-side hash, Arrow lookup of one long)."""
+    """Rows whose id may be in the filter (its hash is made by Spark, looked up in Arrow batches)."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
-        x = h.to_numpy(np.int64).view(np.uint64) >> _U(64 - FILTER_BITS)
-        return pd.Series((shared.value[(x >> _U(6)).astype(np.int64)] >> (x & _U(63)).astype(np.int64)) & 1 == 1)
+    def run(batches):
+        for batch in batches:
+            x = batch.column("_h").to_numpy().view(np.uint64) >> _U(64 - FILTER_BITS)
+            held = (shared.value[(x >> _U(6)).astype(np.int64)] >> (x & _U(63)).astype(np.int64)) & 1 == 1
+            yield batch.drop_columns(["_h"]).filter(pa.array(held))
 
-    return docs.filter(maybe(F.xxhash64(col)))
+    return docs.withColumn("_h", F.xxhash64(col)).mapInArrow(run, docs.schema)
 
 
 def _shingle_arrays(k: int):
@@ -497,7 +497,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sized = _mixed_buckets(buckets, comps).join(classes.select("cls", "n", "sk"), "cls")
     tiles = (tile_keys(sized, ["bucket"], "cls", ["comp", "n", "sk"], TILE).groupBy("bucket", "_lo", "_hi")
              .agg(F.collect_list(F.struct("cls", "comp", "n", "_t", "sk")).alias("members"), F.min("cls").alias("_least")))
-    rest = (tiles.repartition("_least", F.pmod("bucket", F.lit(4))).select("_lo", "_hi", "members")
+    rest = (tiles.repartition("_least", F.pmod("bucket", F.lit(2))).select("_lo", "_hi", "members")
             .mapInArrow(_cross_pairs(similarity), "a long, b long").distinct())
     rest = stage(rest.join(pairs, ["a", "b"], "left_anti"), "op9-rest")
     new = stage(_verify(rest, _sets_for(rest, classes, docs, k), similarity), "op9-edges")

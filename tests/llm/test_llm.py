@@ -348,3 +348,23 @@ def test_piece_cache_cut_back_gives_the_same_ids(spark, sf, monkeypatch):
     monkeypatch.setattr(tokens, "SLICE_BYTES", 3000)
     ids, counts = tokens.WordTokenizer(WORD_TOKENIZER).encode(pa.array(texts))
     assert ids.tolist() == [i for x in want for i in x] and counts.tolist() == [len(x) for x in want]
+
+
+def test_presence_filter_loses_no_row(spark):
+    docs = spark.range(3000).selectExpr("id AS _id", "'t' AS text")
+    wanted = docs.filter("_id % 50 = 7").selectExpr("_id")
+    kept = jaccard._pass_filter(docs, "_id", jaccard._packed_filter(wanted, "_id"))
+    assert kept.columns == ["_id", "text"] and kept.join(wanted, "_id").count() == wanted.count() and kept.count() < 100
+
+
+def test_sketches_rule_out_no_link():
+    rng = np.random.default_rng(3)
+    for n in (6, 60, 600):
+        a = np.unique(rng.integers(0, 2 ** 63, n).astype(np.uint64))
+        for swap in range(0, n // 2, max(n // 20, 1)):
+            b = np.unique(np.concatenate([a[swap:], rng.integers(0, 2 ** 63, swap).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            links = 100 * both >= 80 * (len(a) + len(b) - both)
+            sk = [np.frombuffer(jaccard.sketch(x), np.uint8)[None] for x in (a, b)]
+            may = jaccard.may_link(np.array([len(a)]), sk[0], np.array([len(b)]), sk[1], 80)[0]
+            assert may or not links
