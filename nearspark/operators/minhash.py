@@ -72,12 +72,17 @@ def signatures(bag: DataFrame, id_col: str = "doc_id", num_hashes: int = 128,
     return lists.select(id_col, _signature_udf(num_hashes, seed)(F.col("xs")).alias("signature"))
 
 
-def signature_similarity(s1: Column, s2: Column) -> Column:
-    """m matching positions of n -> m / (2n - m); 0 when n = 0."""
+ESTIMATORS = ("union", "match_fraction")
+
+
+def signature_similarity(s1: Column, s2: Column, estimator: str = "union") -> Column:
+    """m matching positions of n -> m / (2n - m), or m / n for ``match_fraction``; 0 when n = 0."""
+    if estimator not in ESTIMATORS:
+        raise ValueError(f"estimator must be one of {ESTIMATORS}")
     m = F.aggregate(F.zip_with(s1, s2, lambda x, y: F.when(x == y, 1).otherwise(0)),
                     F.lit(0), lambda acc, v: acc + v)
     n = F.size(s1)
-    union = 2 * n - m
+    union = n if estimator == "match_fraction" else 2 * n - m
     return F.when(union == 0, F.lit(0.0)).otherwise(m.cast("double") / union)
 
 
@@ -120,8 +125,9 @@ def candidate_pairs(index: DataFrame, id_col: str, tile_size: int = P.DEFAULT_TI
 
 def minhash_pairs(bag: DataFrame, id_col: str = "doc_id", num_hashes: int = 128,
                   num_bands: int = 16, jaccard_threshold: float = 0.6, seed: int = 42,
-                  tile_size: int = P.DEFAULT_TILE, sigs: DataFrame | None = None) -> DataFrame:
-    """Near-duplicate pairs ``(id1, id2, value)`` with value = m/(2n-m) >= threshold."""
+                  tile_size: int = P.DEFAULT_TILE, sigs: DataFrame | None = None,
+                  estimator: str = "union") -> DataFrame:
+    """Near-duplicate pairs ``(id1, id2, value)`` with value >= threshold; value as ``estimator`` names it."""
     rows = params.check_minhash(num_hashes, num_bands, jaccard_threshold)
     if sigs is None:
         sigs = signatures(bag, id_col, num_hashes, seed)
@@ -133,7 +139,7 @@ def minhash_pairs(bag: DataFrame, id_col: str = "doc_id", num_hashes: int = 128,
     s2 = reps.select(F.col("rep").alias("id2"), F.col("signature").alias("s2"))
     scored = (cands.join(s1, "id1").join(s2, "id2")
               .select(F.col("id1").alias("rep1"), F.col("id2").alias("rep2"),
-                      signature_similarity(F.col("s1"), F.col("s2")).alias("value"))
+                      signature_similarity(F.col("s1"), F.col("s2"), estimator).alias("value"))
               .filter(F.col("value") >= F.lit(jaccard_threshold)))
     between = P.expand_groups(scored, members, "rep", id_col)
     within = P.within_group_pairs(members, "rep", id_col, 1.0, tile_size)

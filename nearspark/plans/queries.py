@@ -281,6 +281,30 @@ def eval_minhash(spark, sf_dir):
     return _eval_out(EV.evaluate(res, comps))
 
 
+@register("eval_minhash_direct", f"""WITH {O.doc_bag_cte()}, {O.tfidf_l2_cte()}, {O.cosine_pairs_cte(0.8, True)}, {O.minhash_res_cte()},
+hits AS (SELECT count(*) AS h FROM res JOIN edges USING (id1, id2) WHERE res.value >= 0.6),
+labels AS (SELECT count(*) AS n FROM edges)
+SELECT (SELECT count(*) FROM res) AS n_results, (SELECT n FROM labels) AS n_labels, (SELECT h FROM hits) AS hits,
+  round((SELECT h FROM hits)::DOUBLE / nullif((SELECT count(*) FROM res), 0), 6) AS precision,
+  round((SELECT h FROM hits)::DOUBLE / nullif((SELECT n FROM labels), 0), 6) AS recall""")
+def eval_minhash_direct(spark, sf_dir):
+    """MinHash pairs against the cosine pairs themselves: labels without the closure over components."""
+    bag, vecs = doc_vectors(spark, sf_dir)
+    labels = cosine_pairs(bag, vecs, "doc_id", strict=True)
+    return _eval_out(EV.evaluate_pairs(MH.minhash_pairs(bag, "doc_id"), labels))
+
+
+@register("minhash_pairs_match_fraction", f"""WITH {O.doc_bag_cte()}, {O.minhash_sig_cte()},
+mt AS (SELECT a.id AS id1, b.id AS id2, a.i FROM sigl a JOIN sigl b ON a.i = b.i AND a.h = b.h AND a.id < b.id),
+sh AS (SELECT DISTINCT id1, id2 FROM (SELECT id1, id2, i // 8 AS band, count(*) AS c FROM mt GROUP BY ALL) WHERE c = 8),
+sc AS (SELECT id1, id2, count(*) AS m FROM mt GROUP BY ALL)
+SELECT id1, id2, round(m / 128.0, 6) AS value FROM sc JOIN sh USING (id1, id2) WHERE m / 128.0 >= 0.6""")
+def minhash_pairs_match_fraction(spark, sf_dir):
+    """Pairs by the share of equal signature positions, the unbiased estimate of their Jaccard similarity."""
+    pairs = MH.minhash_pairs(doc_bag(spark, sf_dir), "doc_id", estimator="match_fraction")
+    return pairs.select("id1", "id2", r6("value"))
+
+
 @register("eval_simhash", _eval_sql("""
 {fp},
 res AS (

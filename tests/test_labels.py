@@ -95,3 +95,35 @@ def test_a_hub_takes_no_part_in_the_join(spark):
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     comps = GR.connected_components(nodes, edges).groupBy("component").count().collect()
     assert {(r.component, r["count"]) for r in comps} == {(0, leaves + 1), (100_000, chain + 1)}
+
+
+def test_simhash_keys_grow_with_the_table():
+    from nearspark.operators.simhash import blocks_for
+    assert blocks_for(100, 32, 3) < blocks_for(10 ** 5, 32, 3) <= blocks_for(10 ** 9, 32, 3)
+    for n in (100, 10 ** 4, 10 ** 5, 10 ** 6):
+        k = blocks_for(n, 32, 3)
+        assert k * 32 // (3 + k) >= n.bit_length() or k == blocks_for(10 ** 12, 32, 3)
+
+
+@pytest.mark.parametrize("extra", [None, 1, 5])
+def test_simhash_pairs_do_not_depend_on_the_blocks(spark, extra):
+    from nearspark.operators import simhash as SH
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2 ** 32, 60)
+    votes = [int(b) ^ (1 << int(x) if i % 3 else 0) ^ (1 << int(y) if i % 2 else 0)
+             for b in base for i, (x, y) in enumerate(rng.integers(0, 32, (6, 2)))]
+    fps = spark.createDataFrame([(i, v, i % 7 == 0) for i, v in enumerate(votes)], "doc_id long, votes long, tail boolean")
+    got = {(r.id1, r.id2): r.value for r in SH.simhash_pairs(fps, "doc_id", 64, 3, extra_blocks=extra).collect()}
+    want = {(i, j): d for i, j in combinations(range(len(votes)), 2)
+            if (d := (votes[i] ^ votes[j]).bit_count() + 32 * ((i % 7 == 0) != (j % 7 == 0))) <= 3}
+    assert got == want
+
+
+def test_evaluate_pairs_without_closure(spark):
+    from nearspark.operators import evaluate as EV
+    labels = spark.createDataFrame([(1, 2), (3, 2), (5, 6)], "id1 long, id2 long")
+    results = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.9), (2, 3, 0.5)], "id1 long, id2 long, value double")
+    r = EV.evaluate_pairs(results, labels).first()
+    assert (r.n_results, r.n_labels, r.hits, r.recall) == (3, 3, 1, pytest.approx(1 / 3))
+    assert EV.evaluate_pairs(results, labels, None).first().hits == 2
+    assert EV.evaluate_pairs(results.limit(0), labels.limit(0)).first().precision is None
