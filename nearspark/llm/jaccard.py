@@ -54,7 +54,6 @@ GROUPS = 512  # counters of a sketch: few of its shingles share one, so near mis
 HUB_ROUNDS = 1
 TILE = 1024  # members of a bucket compared with one another at a time
 PAIRS_HELD = 1_000_000
-MEMBERS_HELD = 100_000
 BROADCAST_ROWS = 200_000  # of two longs
 
 
@@ -360,31 +359,28 @@ def _plausible(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFra
 
 
 class _PlausiblePairs:
-    """Distinct pairs of a task's tiles, which share most of theirs, tested by their sketches once.
+    """Distinct pairs of a family's tiles, which share most of theirs, tested by their sketches once.
 
-    Handed on when ``PAIRS_HELD`` pairs or ``MEMBERS_HELD`` members are held.
+    Tested and forgotten whenever ``PAIRS_HELD`` are held.
     """
 
-    def __init__(self, similarity: int):
+    def __init__(self, similarity: int, members: list[tuple[int, int, bytes]]):
+        members.sort()
         self.similarity = similarity
-        self.pairs, self.n_pairs, self.members, self.n_members = [], 0, [], 0
+        self.cls, self.n = (np.array([m[i] for m in members], np.int64) for i in (0, 1))
+        self.sk = np.frombuffer(b"".join(m[2] for m in members), np.uint8).reshape(-1, GROUPS)
+        self.pairs, self.held = [], 0
 
-    def add(self, cls: np.ndarray, n: np.ndarray, sk: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]):
-        self.members.append((cls, n, sk))
-        self.n_members += len(cls)
+    def add(self, a: list[np.ndarray], b: list[np.ndarray]):
         if a:
             a, b = np.concatenate(a), np.concatenate(b)
             self.pairs.append(np.vstack([np.minimum(a, b), np.maximum(a, b)]))
-            self.n_pairs += len(a)
-        if self.n_pairs >= PAIRS_HELD:
+            self.held += len(a)
+        if self.held >= PAIRS_HELD:
             self.pairs = [self._distinct()]
-            self.n_pairs = self.pairs[0].shape[1]
-        if self.n_pairs >= PAIRS_HELD // 2 or self.n_members >= MEMBERS_HELD:
-            cls, n, sk = self._merged()
-            if self.n_pairs >= PAIRS_HELD // 2 or len(cls) >= MEMBERS_HELD // 2:
-                yield self.flush()
-            else:
-                self.members, self.n_members = [(cls, n, sk)], len(cls)
+            self.held = self.pairs[0].shape[1]
+            if self.held >= PAIRS_HELD // 2:
+                yield from self.tested()
 
     def _distinct(self) -> np.ndarray:
         x = np.hstack(self.pairs)
@@ -393,50 +389,65 @@ class _PlausiblePairs:
         new[1:] = (x[:, 1:] != x[:, :-1]).any(axis=0)
         return x[:, new]
 
-    def _merged(self):
-        cls = np.concatenate([m[0] for m in self.members])
-        cls, one = np.unique(cls, return_index=True)
-        return cls, np.concatenate([m[1] for m in self.members])[one], np.vstack([m[2] for m in self.members])[one]
-
-    def flush(self) -> pa.RecordBatch:
-        a = b = np.zeros(0, np.int64)
-        if self.pairs:
-            cls, n, sk = self._merged()
+    def tested(self):
+        if self.held:
             a, b = self._distinct()
-            x, y = np.searchsorted(cls, a), np.searchsorted(cls, b)
-            ok = np.zeros(len(a), bool)
-            for i in range(0, len(a), 50_000):
-                o = slice(i, i + 50_000)
-                ok[o] = may_link(n[x[o]], sk[x[o]], n[y[o]], sk[y[o]], self.similarity)
-            a, b = a[ok], b[ok]
-        self.pairs, self.n_pairs, self.members, self.n_members = [], 0, [], 0
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            x, y = np.searchsorted(self.cls, a), np.searchsorted(self.cls, b)
+            for i in range(0, len(a), 20_000):
+                o = slice(i, i + 20_000)
+                ok = may_link(self.n[x[o]], self.sk[x[o]], self.n[y[o]], self.sk[y[o]], self.similarity)
+                if ok.any():
+                    yield a[o][ok], b[o][ok]
+        self.pairs, self.held = [], 0
+
+
+def _tile_pairs(members: pa.Scalar, lo: int, hi: int, similarity: int) -> tuple[list, list]:
+    """Pairs of a tile's members of different components whose sizes allow a link."""
+    flat = members.values
+    cls, comp, n, tile = (flat.field(f).to_numpy() for f in ("cls", "comp", "n", "_t"))
+    order = np.argsort(n, kind="stable")
+    cls, comp, n, tile = cls[order], comp[order], n[order], tile[order]
+    to = np.searchsorted(n, 100 * n.astype(np.int64) // similarity, side="right")
+    left, right = [], []
+    for i in range(len(cls) - 1):
+        o = slice(i + 1, to[i])
+        ok = comp[o] != comp[i]
+        if lo != hi:  # pairs within a tile are met where both tiles are the same
+            ok &= tile[o] != tile[i]
+        other = cls[o][ok]
+        left.append(np.full(len(other), cls[i]))
+        right.append(other)
+    return left, right
 
 
 def _cross_pairs(similarity: int):
-    """Plausible pairs of a tile's members of different components; partners by size."""
+    """Plausible pairs of each family: rows of its members' sketches come first, then its tiles."""
     def run(batches):
-        pairs = _PlausiblePairs(similarity)
+        key, members, pairs, out, held = None, [], None, [], 0
+
+        def flush():
+            a, b = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
         for batch in batches:
-            tiles = zip(batch.column("_lo").to_pylist(), batch.column("_hi").to_pylist(), batch.column("members"))
-            for lo, hi, members in tiles:
-                flat = members.values
-                cls, comp, n, tile = (flat.field(f).to_numpy() for f in ("cls", "comp", "n", "_t"))
-                order = np.argsort(n, kind="stable")
-                sk = _rows_of(flat.field("sk"))[order]
-                cls, comp, n, tile = cls[order], comp[order], n[order], tile[order]
-                to = np.searchsorted(n, 100 * n.astype(np.int64) // similarity, side="right")
-                left, right = [], []
-                for i in range(len(cls) - 1):
-                    o = slice(i + 1, to[i])
-                    ok = comp[o] != comp[i]
-                    if lo != hi:  # pairs within a tile are met where both tiles are the same
-                        ok &= tile[o] != tile[i]
-                    other = cls[o][ok]
-                    left.append(np.full(len(other), cls[i]))
-                    right.append(other)
-                yield from pairs.add(cls, n, sk, left, right)
-        yield pairs.flush()
+            keys = zip(*[batch.column(c).to_pylist() for c in ("_least", "_lo", "_hi")])
+            cls, n, sk, tiles = (batch.column(c) for c in ("cls", "n", "sk", "members"))
+            for i, k in enumerate(keys):
+                if k != key:
+                    out += pairs.tested() if pairs else []
+                    key, members, pairs = k, [], None
+                if cls[i].is_valid:
+                    members.append((cls[i].as_py(), n[i].as_py(), sk[i].as_py()))
+                    continue
+                pairs = pairs or _PlausiblePairs(similarity, members)
+                out += pairs.add(*_tile_pairs(tiles[i], k[1], k[2], similarity))
+                held = sum(len(a) for a, _ in out) if len(out) > 50 else 0
+                if held > 100_000:
+                    yield flush()
+                    out = []
+        out += pairs.tested() if pairs else []
+        yield flush()
+        T.give_back_memory()
     return run
 
 
@@ -492,12 +503,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             break
         edges = edges.union(new)
         comps = _components(edges)
-    # What is left: every plausible pair of a bucket across components, in tiles of a bucket. Tiles
-    # with the same smallest member share most pairs, and meet in a task that hands on each pair once.
-    sized = _mixed_buckets(buckets, comps).join(classes.select("cls", "n", "sk"), "cls")
-    tiles = (tile_keys(sized, ["bucket"], "cls", ["comp", "n", "sk"], TILE).groupBy("bucket", "_lo", "_hi")
-             .agg(F.collect_list(F.struct("cls", "comp", "n", "_t", "sk")).alias("members"), F.min("cls").alias("_least")))
-    rest = (tiles.repartition("_least", F.pmod("bucket", F.lit(2))).select("_lo", "_hi", "members")
+    # What is left: every plausible pair of a bucket across components, in tiles of a bucket. Tiles of
+    # equal place and smallest member are a family: they share most pairs, and meet in a task that takes
+    # in each member's sketch once and hands on each pair once.
+    sized = _mixed_buckets(buckets, comps).join(classes.select("cls", "n"), "cls")
+    tiles = (tile_keys(sized, ["bucket"], "cls", ["comp", "n"], TILE).groupBy("bucket", "_lo", "_hi")
+             .agg(F.collect_list(F.struct("cls", "comp", "n", "_t")).alias("members"), F.min("cls").alias("_least")))
+    tiles = stage(tiles.select("_least", "_lo", "_hi", "members"), "op9-tiles")
+    family = ["_least", "_lo", "_hi"]
+    sketches = (tiles.select(*family, F.explode("members.cls").alias("cls")).distinct()
+                .join(classes.select("cls", "n", "sk"), "cls"))
+    rows = sketches.select(*family, "cls", "n", "sk").unionByName(tiles, allowMissingColumns=True)
+    rest = (rows.repartition(*family).sortWithinPartitions(*family, F.col("cls").asc_nulls_last())
             .mapInArrow(_cross_pairs(similarity), "a long, b long").distinct())
     rest = stage(rest.join(pairs, ["a", "b"], "left_anti"), "op9-rest")
     new = stage(_verify(rest, _sets_for(rest, classes, docs, k), similarity), "op9-edges")
