@@ -169,6 +169,7 @@ def class_hash(distinct: np.ndarray) -> np.uint64:
 
 def _sets(batch: pa.RecordBatch, k: int):
     """Per slice of rows: first row and the list of distinct shingle arrays."""
+    T.keep_memory_low()
     for a, n, data, off in T.text_slices(batch):
         h, first = T.shingles_of(data, off, k)
         yield a, [np.unique(h[first[i]:first[i + 1]]) for i in range(n)]

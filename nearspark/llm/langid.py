@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearspark.llm.sampling import bounded_ids_by, held_out
-from nearspark.llm.textops import give_back_memory
+from nearspark.llm.textops import give_back_memory, keep_memory_low
 
 MOST_TRAINING_DOCS = 2000
 LEAST_PER_LANGUAGE = 50
@@ -204,6 +204,7 @@ def _score(shared):
         return pred, np.where(lettered, post[np.arange(len(best)), best], 0.0)
 
     def run(batches):
+        keep_memory_low()
         if model.langs:
             state["vocabulary"] = Vocabulary(model.pieces)
             state["p"] = model.scaled(state["vocabulary"])

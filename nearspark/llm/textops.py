@@ -41,6 +41,7 @@ _P = 0xD1342543DE82EF95
 _P_INV = pow(_P, -1, 1 << 64)
 _PLACE = mix(np.arange(1, 65, dtype=np.uint64)) | _U(1)
 _powers: dict[str, np.ndarray] = {}
+_FIRST_POOL = pa.default_memory_pool()
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,11 +135,23 @@ def bits_to_filter(n_bits_log2: int, hashes: np.ndarray) -> np.ndarray:
     return slots
 
 
+def keep_memory_low() -> None:
+    """Let freed arrays go back to the system at once, in this worker: Arrow's by the C library, large ones unmapped."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: a fixed one, the default grows with what is freed
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def give_back_memory() -> None:
     """Drop tables and return freed memory to the system: Spark keeps a Python worker for its next task."""
     _powers.clear()
     gc.collect()
-    pa.default_memory_pool().release_unused()
+    for pool in (_FIRST_POOL, pa.default_memory_pool()):
+        pool.release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library

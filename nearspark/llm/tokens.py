@@ -180,6 +180,7 @@ def tokenizer_at(path: str) -> WordTokenizer:
 
 def token_slices(batches, path: str, end_id: int, max_bytes: int, text_col: str = "text"):
     """Yield ``(batch, first_row, ids, counts)`` with ``end_id`` behind each text's ids, for the batches of a task."""
+    T.keep_memory_low()
     tok = tokenizer_at(path)
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(text_col))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from nearspark.llm.sampling import bounded_ids
 from nearspark.llm.staging import stage
-from nearspark.llm.textops import give_back_memory, mix
+from nearspark.llm.textops import give_back_memory, keep_memory_low, mix
 
 MOST_TRAINING_DOCS = 6000
 GRADES = 3
@@ -200,6 +200,7 @@ def _score(shared):
         return z
 
     def run(batches):
+        keep_memory_low()
         for batch in batches:
             texts = batch.column("text")
             sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))

@@ -134,6 +134,7 @@ def _search(shared, classes: dict[int, int], bands: int, rows: int, normalise, k
         return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
     def run(batches):
+        T.keep_memory_low()
         item_filter, key_filter = shared.value
         for batch in batches:
             rows_out, all_keys, hits, places = [], [], [], []
