@@ -51,3 +51,15 @@ def test_empty_batches(spark, tmp_path):
     ST.append(none, path, 0)
     some = signatures(spark, [(1, BASE)])
     assert pairs(ST.pairs_of_batch(some, path, 1)) == []
+
+
+def test_documents_in_a_folder_are_streamed(spark, tmp_path):
+    from nearspark.plans.queries import QUERIES
+
+    docs = spark.createDataFrame([(1, BASE), (2, BASE), (3, "quite other words"), (4, None)], "doc_id long, text string")
+    docs.repartition(3).write.parquet(str(tmp_path / "folder/documents.parquet"))
+    (tmp_path / "file").mkdir()
+    docs.toPandas().to_parquet(tmp_path / "file/documents.parquet")
+    for kind in ("folder", "file"):
+        got = QUERIES["stream_lsh_probe"][0](spark, str(tmp_path / kind)).collect()
+        assert sorted(map(tuple, got)) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)]
