@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from nearspark.operators import cosine as CS
@@ -80,6 +81,18 @@ def test_bounds_prune_candidates_but_no_pair(copies):
     assert want <= cands and len(cands) < 3 * len(want) + 100
 
 
+def test_long_vectors_are_told_apart_by_wider_sketches(spark):
+    rng = np.random.default_rng(7)
+    rows = [(d, f"t{t}") for d in range(2200) for t in rng.choice(20_000, 12, replace=False)]
+    rows += [(d, f"t{t}") for d in range(3000, 3200) for t in rng.choice(20_000, 900, replace=False)]
+    rows += [(d + 1000, t) for d, t in rows if d >= 3190]  # ten long copies
+    bag = spark.createDataFrame(rows, "doc_id long, term string").withColumn("w", F.lit(1.0))
+    unit = F.col("w") / F.sqrt(F.sum("w").over(Window.partitionBy("doc_id")))
+    vecs = bag.select("doc_id", "term", unit.alias("w")).cache()
+    got = {(r.id1, r.id2) for r in CS.candidates(vecs, "doc_id", 0.8).collect()}
+    assert {(d, d + 1000) for d in range(3190, 3200)} <= got and len(got) < 100
+
+
 def test_a_hub_takes_no_part_in_the_join(spark):
     leaves, chain = 60_000, 300
     star = spark.range(1, leaves + 1).select(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst"))
