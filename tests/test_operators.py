@@ -307,3 +307,16 @@ def test_lsa_queries_gather_no_matrix_as_wide_as_the_table(spark, sf, monkeypatc
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
     few = Q.QUERIES["lsa_pairs_pages_k64"][0](spark, sf)
     assert few.columns == ["id1", "id2", "value"] and max(widths) <= 64 + 10
+
+
+def test_signatures_hash_a_distinct_feature_once_and_match_plain_python(spark):
+    import hashlib
+    from nearspark.functions.hashing import minhash_coefficients
+    rows = [(d, f"w{t}", 1 + (d * t) % 3) for d in range(40) for t in range(d % 7, 30 + d)]
+    sigs = MH.signatures(spark.createDataFrame(rows, "doc_id long, term string, tf long"), "doc_id", 40, 7)
+    assert "md5" not in sigs._jdf.queryExecution().executedPlan().toString()  # not per occurrence on the JVM
+    a, b = (v.tolist() for v in minhash_coefficients(40, 7))
+    for doc, sig in sigs.collect():
+        xs = [int(hashlib.md5(f"{t}{k}".encode()).hexdigest(), 16) % (2 ** 32 - 1)
+              for d, t, n in rows if d == doc for k in range(1, n + 1)]
+        assert sig == [min((i * x + j) % (2 ** 32 - 1) for x in xs) for i, j in zip(a, b)]
