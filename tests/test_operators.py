@@ -320,3 +320,34 @@ def test_signatures_hash_a_distinct_feature_once_and_match_plain_python(spark):
         xs = [int(hashlib.md5(f"{t}{k}".encode()).hexdigest(), 16) % (2 ** 32 - 1)
               for d, t, n in rows if d == doc for k in range(1, n + 1)]
         assert sig == [min((i * x + j) % (2 ** 32 - 1) for x in xs) for i, j in zip(a, b)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("bits,t", [(32, 6), (8, 8), (8, 3), (64, 9)])
+def test_simhash_pairs_with_wide_thresholds_compare_tiles(spark, bits, t):
+    rng = np.random.default_rng(5)
+    votes = (rng.integers(0, 1 << min(bits, 32), 300) & rng.integers(0, 1 << min(bits, 32), 300)).tolist()
+    rows = [(i, v, bits > 32 and i % 11 == 0) for i, v in enumerate(votes)]
+    pairs = SH.simhash_pairs(spark.createDataFrame(rows, "doc_id long, votes long, tail boolean"), "doc_id", bits, t)
+    assert "FlatMapGroupsInPandas" in plan_of(pairs)
+    want = {(i, j, d) for (i, v, a), (j, w, b) in combinations(rows, 2)
+            if (d := (v ^ w).bit_count() + (bits - 32 if a != b else 0)) <= t}
+    assert sorted(map(tuple, pairs.collect())) == sorted(want)
+
+
+def test_fingerprints_move_rows_not_partial_sums(spark):
+    feats = spark.createDataFrame([(1, "a", 0.5, 3), (1, "b", -0.25, 5), (2, "a", 1.0, 3)],
+                                  "doc_id long, term string, weight double, h long")
+    below = plan_of(SH.fingerprints(feats, "doc_id", 64)).split("Exchange", 1)[1]
+    assert "HashAggregate" not in below
+
+
+@pytest.mark.parametrize("stem", [False, True])
+def test_stored_bag_stays_dealt_by_id(spark, sf, stem):
+    from nearspark.plans.queries import doc_bag
+    bag = doc_bag(spark, sf, stem)
+    assert "Exchange" not in plan_of(MH.signatures(bag, "doc_id"))
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
