@@ -93,6 +93,24 @@ def test_long_vectors_are_told_apart_by_wider_sketches(spark):
     assert {(d, d + 1000) for d in range(3190, 3200)} <= got and len(got) < 100
 
 
+def test_vectors_are_stored_once_and_only_pairs_that_pass_leave_a_task(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"d{d:03}", f"t{t}", 0.25) for d in range(300) for t in rng.choice(24, 16, replace=False)]
+    vecs = spark.createDataFrame(rows, "doc_id string, term string, w double").cache()
+    pairs = CS.sparse_cosine_pairs(vecs, "doc_id", 0.85, block_docs=40)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "CoGroup" not in plan
+    own = {}
+    for d, t, _ in rows:
+        own.setdefault(d, set()).add(t)
+    want = {(a, b) for a in own for b in own if a < b and len(own[a] & own[b]) / 16 >= 0.85}
+    got = pairs.collect()
+    assert len(got) == len(want) > 20 and {(r.id1, r.id2) for r in got} == want
+    assert all(abs(r.value - len(own[r.id1] & own[r.id2]) / 16) < 1e-12 for r in got)
+    folder = CS._write_tiles(vecs, vecs.select("doc_id", F.lit(False).alias("_later")).distinct(), "doc_id", 5)
+    assert spark.read.parquet(folder).count() == 300
+
+
 def test_a_hub_takes_no_part_in_the_join(spark):
     leaves, chain = 60_000, 300
     star = spark.range(1, leaves + 1).select(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst"))
