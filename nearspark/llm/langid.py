@@ -3,7 +3,7 @@
 A language gives every piece of a fixed public vocabulary a probability; a text's
 likelihood is the sum, over all ways to cut its words into pieces, of the product
 of the pieces' probabilities. The forward algorithm sums them word by word, each
-distinct word of a slice once. Piece probabilities are learned by
+distinct word of a slice once, and short ones that a task remembers not again. Piece probabilities are learned by
 expectation-maximisation over the same lattice from a bounded sample
 (``MOST_TRAINING_DOCS`` documents, shared fairly by the languages; at least
 ``LEAST_PER_LANGUAGE`` of each, or all it has).
@@ -36,7 +36,8 @@ LEAST_PER_LANGUAGE = 50
 LONGEST = 8
 RUN = 24
 SCALE = 16.0  # per byte, keeps forward sums in range
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+REMEMBERED = 1 << 20  # numbers of short words' scores that a task keeps, at most
 _U = np.uint64
 _BLANK = set(b" \t\n\v\f\r")
 
@@ -66,13 +67,15 @@ class Lattice:
         self.active = np.searchsorted(-self.length, -np.arange(longest + 1), side="right")
 
     def forward(self, p: np.ndarray) -> np.ndarray:
-        a = np.zeros((self.size, p.shape[1]))
+        a, none = np.zeros((self.size, p.shape[1])), len(p) - 1
         a[self.node] = 1.0
         for i in range(1, len(self.active)):
             at = self.node[:self.active[i]] + i
-            total = 0.0
-            for n in range(1, min(LONGEST, i) + 1):
-                total = total + a[at - n] * p[self.piece[n][at - n]]
+            total = a[at - 1] * p[self.piece[1][at - 1]]
+            for n in range(2, min(LONGEST, i) + 1):
+                piece = self.piece[n][at - n]
+                has = np.flatnonzero(piece < none)  # most nodes have no long piece
+                total[has] += a[at[has] - n] * p[piece[has]]
             a[at] = total
         return a
 
@@ -181,6 +184,31 @@ def word_scores(words: list[str], vocabulary: Vocabulary, p: np.ndarray) -> np.n
     return out
 
 
+class WordScores:
+    """``word_scores`` that remembers words of at most ``RUN`` letters, up to ``most`` of them."""
+
+    def __init__(self, vocabulary: Vocabulary, p: np.ndarray, most: int | None = None):
+        self.vocabulary, self.p = vocabulary, p
+        self.most = REMEMBERED // max(1, p.shape[1]) if most is None else most
+        self.place, self.rows = {}, np.zeros((0, p.shape[1]))
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        at = np.array([self.place.get(w, -1) for w in words], np.int64)
+        new = np.flatnonzero(at < 0)
+        fresh = [words[i] for i in new.tolist()]
+        out = np.empty((len(words), self.p.shape[1]))
+        out[new] = scores = word_scores(fresh, self.vocabulary, self.p)
+        known = at >= 0
+        out[known] = self.rows[at[known]]
+        short = [i for i, w in enumerate(fresh) if len(w) <= RUN]
+        if len(self.place) + len(short) > self.most:
+            self.place, self.rows = {}, self.rows[:0]
+            short = short[:self.most]
+        self.place.update(zip([fresh[i] for i in short], range(len(self.place), len(self.place) + len(short))))
+        self.rows = np.concatenate([self.rows, scores[short]])
+        return out
+
+
 def _score(shared):
     model = shared.value
     state = {}
@@ -190,7 +218,7 @@ def _score(shared):
         coded = pc.dictionary_encode(words.flatten())
         distinct = pc.utf8_lower(coded.dictionary)
         again = pc.dictionary_encode(distinct)
-        logs = word_scores(again.dictionary.to_pylist(), state["vocabulary"], state["p"])
+        logs = state["scores"](again.dictionary.to_pylist())
         of_word = again.indices.to_numpy()[coded.indices.to_numpy(zero_copy_only=False)]
         at = words.offsets.to_numpy(zero_copy_only=False) - words.offsets[0].as_py()
         total = np.zeros((len(of_word) + 1, logs.shape[1]))
@@ -206,8 +234,8 @@ def _score(shared):
     def run(batches):
         keep_memory_low()
         if model.langs:
-            state["vocabulary"] = Vocabulary(model.pieces)
-            state["p"] = model.scaled(state["vocabulary"])
+            vocabulary = Vocabulary(model.pieces)
+            state["scores"] = WordScores(vocabulary, model.scaled(vocabulary))
         for batch in batches:
             texts, lettered = batch.column("text"), batch.column("lettered").to_numpy(zero_copy_only=False)
             sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
@@ -224,6 +252,7 @@ def _score(shared):
                     names=["doc_id", "held_out", "lang_pred", "score"])
                 a = b
             give_back_memory()
+        state.clear()
     return run
 
 

@@ -5,6 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
+from nearspark.llm import langid
 from nearspark.llm import quality as Q
 from nearspark.llm import toxicity as X
 
@@ -109,3 +110,24 @@ def test_expected_severity_is_the_sum_over_grades():
     assert np.allclose(up, 1 / (1 + np.exp(-(np.array([-5.0, 0.0, 2.0, 9.0])[:, None] - m.thresholds))))
     p = np.hstack([np.ones((4, 1)), up]) - np.hstack([up, np.zeros((4, 1))])
     assert np.allclose(p.sum(axis=1), 1) and np.allclose(p @ np.arange(p.shape[1]), up.sum(axis=1))
+
+
+def test_words_that_a_task_remembers_are_summed_once(monkeypatch):
+    pieces = sorted({bytes([b]) for b in range(1, 256)} | {b" th", b" the", b"ing", b"re", b"str"})
+    rng = np.random.default_rng(5)
+    log_p = np.log(rng.dirichlet(np.ones(len(pieces)), 3).T)
+    vocabulary = langid.Vocabulary(pieces)
+    p = langid.Model(["a", "b", "c"], pieces, log_p).scaled(vocabulary)
+    words = ["the", "thing", "string", "x" * 100, "resting", "é" * 30, "a", "then"]
+    want, plain, asked = langid.word_scores(words, vocabulary, p), langid.word_scores, []
+    monkeypatch.setattr(langid, "word_scores", lambda w, v, q: asked.extend(w) or plain(w, v, q))
+    for most in (0, 3, 100):
+        scores = langid.WordScores(vocabulary, p, most)
+        for _ in range(3):
+            np.testing.assert_allclose(scores(words), want, rtol=1e-12)
+            np.testing.assert_allclose(scores(words[::-1][:5]), want[::-1][:5], rtol=1e-12)
+            assert len(scores.place) == len(scores.rows) <= most
+    asked.clear()
+    scores = langid.WordScores(vocabulary, p)
+    scores(words), scores(words)
+    assert sorted(asked) == sorted([*words, "x" * 100, "é" * 30])  # long words are not kept
