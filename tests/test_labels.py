@@ -158,3 +158,34 @@ def test_evaluate_pairs_without_closure(spark):
     assert (r.n_results, r.n_labels, r.hits, r.recall) == (3, 3, 1, pytest.approx(1 / 3))
     assert EV.evaluate_pairs(results, labels, None).first().hits == 2
     assert EV.evaluate_pairs(results.limit(0), labels.limit(0)).first().precision is None
+
+
+def test_pairs_are_not_broadcast_by_a_guess(spark):
+    rows = [(d, f"t{t}", 0.5) for d in range(60) for t in range(d % 3, d % 3 + 4)]
+    vecs = spark.createDataFrame(rows, "doc_id long, term string, w double").cache()
+    pairs = CS.sparse_cosine_pairs(vecs, "doc_id", 0.8)
+    size = int(str(pairs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert size > 1 << 40  # the tile pairs are few; how many rows they make is not known
+
+
+def test_copies_of_a_class_are_spread_over_rows_and_tiles(spark):
+    docs = spark.range(700).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 600, "one two three four").otherwise(
+        F.concat(F.lit("one two three four five"), F.when(F.col("id") % 2 == 0, " six").otherwise(" seven"))).alias("text"))
+    bag = TX.bag_of_words(docs).cache()
+    classes, vecs = CS.equal_classes(bag).cache(), WT.tfidf_l2(bag).cache()
+    got = [(r.id1, r.id2) for r in CS.sparse_cosine_pairs(vecs, "doc_id", 0.3, classes=classes, block_docs=2).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(bag, 0.3, False)
+    dealt = CS._deal(vecs, classes, "doc_id", 0.3, 2)
+    sizes = [len(r.members) for r in spark.read.parquet(dealt.folder).collect()]
+    assert sum(sizes) == 700 and max(sizes) < 600 and len(dealt.widths) > 1
+
+
+def test_links_leave_out_what_other_links_imply(spark):
+    rng = np.random.default_rng(5)
+    rows = [(100 * g + d, f"g{g}t{t}", 1 / np.sqrt(30)) for g in range(3) for d in range(40)
+            for t in rng.choice(32, 30, replace=False)]
+    vecs = spark.createDataFrame(rows, "doc_id long, term string, w double").cache()
+    classes = vecs.select("doc_id", F.col("doc_id").alias("rep")).distinct().cache()
+    full = CS.sparse_cosine_pairs(vecs, "doc_id", 0.8, classes=classes).count()
+    links = CS.cosine_links(vecs, classes, "doc_id", 0.8).collect()
+    assert full == 3 * 40 * 39 // 2 and len(links) == 3 * 39 and all(r.value >= 0.8 for r in links)
