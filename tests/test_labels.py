@@ -182,10 +182,25 @@ def test_copies_of_a_class_are_spread_over_rows_and_tiles(spark):
 
 def test_links_leave_out_what_other_links_imply(spark):
     rng = np.random.default_rng(5)
-    rows = [(100 * g + d, f"g{g}t{t}", 1 / np.sqrt(30)) for g in range(3) for d in range(40)
+    rows = [(100 * g + d, f"g{g}t{t}", 30 ** -0.5) for g in range(3) for d in range(40)
             for t in rng.choice(32, 30, replace=False)]
     vecs = spark.createDataFrame(rows, "doc_id long, term string, w double").cache()
     classes = vecs.select("doc_id", F.col("doc_id").alias("rep")).distinct().cache()
     full = CS.sparse_cosine_pairs(vecs, "doc_id", 0.8, classes=classes).count()
     links = CS.cosine_links(vecs, classes, "doc_id", 0.8).collect()
     assert full == 3 * 40 * 39 // 2 and len(links) == 3 * 39 and all(r.value >= 0.8 for r in links)
+
+
+def test_dense_vectors_are_stored_once(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(300)] + [(400, [0.0] * 8), (401, None)]
+    vectors = spark.createDataFrame(rows, "id long, v array<double>")
+    pairs = CS.dense_cosine_pairs(vectors, "id", "v", 0.5, tile_size=40)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Explode" not in plan  # no vector is sent to each tile pair
+    m = np.array([v for i, v in rows if i < 300])
+    unit = m / np.linalg.norm(m, axis=1)[:, None]
+    s = unit @ unit.T
+    got = {(r.id1, r.id2): r.value for r in pairs.collect()}
+    assert set(got) == {(i, j) for i, j in combinations(range(300), 2) if s[i, j] >= 0.5}
+    assert all(abs(v - s[i, j]) < 1e-12 for (i, j), v in got.items())
