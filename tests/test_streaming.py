@@ -63,3 +63,29 @@ def test_documents_in_a_folder_are_streamed(spark, tmp_path):
     for kind in ("folder", "file"):
         got = QUERIES["stream_lsh_probe"][0](spark, str(tmp_path / kind)).collect()
         assert sorted(map(tuple, got)) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)]
+
+
+def test_signatures_are_made_once_for_store_and_index(spark, tmp_path):
+    from pyspark.sql import functions as F
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<bigint>")
+    def signature(i):
+        made.add(1)
+        return [i % 3] * 128
+
+    from nearspark.streaming import lsh_probe as ST
+    ST.save_index(spark.range(30).select(F.col("id").alias("doc_id"), signature("id").alias("signature")), str(tmp_path))
+    index, sigs = ST.load_index(spark, str(tmp_path))
+    assert (made.value, sigs.count(), index.count()) == (30, 30, 30 * 16)
+
+
+def test_a_bag_that_is_read_once_is_not_stored(spark, sf, monkeypatch):
+    from nearspark.plans import queries as Q
+
+    def refused(*_args, **_options):
+        raise AssertionError("the bag was stored")
+
+    monkeypatch.setattr(Q, "materialize", refused)
+    for name in ("minhash_pairs", "minhash_candidates", "minhash_pairs_match_fraction", "ranked_pairs", "minhash_pairs_tiled"):
+        assert Q.QUERIES[name][0](spark, sf).count() > 0
